@@ -7,18 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from premia.llm.exact import exact_groups
+from premia.llm.mixing import mix
+from premia.llm.packing import pack
+from premia.llm.token_files import read_token_files, write_token_files
+from premia.llm.tokens import public_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end=1).drop("ids")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end=0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_mixing": op6_mixing,
+    "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def bucket_of(column: Column, buckets: int) -> Column:
 
 def blocks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold at most BLOCK_ROWS rows and about BLOCK_BYTES bytes of text, one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = held = 0
     for row, size in enumerate(sizes):
         if row > start and (row - start >= BLOCK_ROWS or held + size > BLOCK_BYTES):
