@@ -5,22 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from premia.llm.exact import exact_groups
 from premia.llm.mixing import mix
 from premia.llm.packing import pack
+from premia.llm.secrets import BASE_RULES, find_secrets, span_text
 from premia.llm.token_files import read_token_files, write_token_files
 from premia.llm.tokens import public_path
+from premia.llm.warc import read_archives, resolve, rewrite_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in BASE_RULES]
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    base = span_text(F.filter("spans", lambda x: x["kind"].isin(kinds)))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = resolve(write_archives(_table(spark, sf_dir, "pages")))
+    return read_archives(rewrite_archives(headers)).drop("uri")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end=1).drop("ids")
 
@@ -34,7 +50,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
