@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from premia.llm import toxicity
 from premia.llm.exact import exact_groups
+from premia.llm.language import identify, sample
 from premia.llm.mixing import mix
 from premia.llm.packing import pack
 from premia.llm.secrets import BASE_RULES, find_secrets, span_text
+from premia.llm.shared import bucket_of
 from premia.llm.token_files import read_token_files, write_token_files
 from premia.llm.tokens import public_path
 from premia.llm.warc import read_archives, resolve, rewrite_archives, write_archives
@@ -20,6 +23,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    found = identify(docs.select("doc_id", "text"), sample(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket_of(F.col("doc_id"), 5) == 0
+    lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.score(docs, lexicon)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(_table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in BASE_RULES]
@@ -50,6 +68,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op3_toxicity": op3_toxicity,
     "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
