@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from premia.llm import toxicity
 from premia.llm.exact import exact_groups
 from premia.llm.language import identify, sample
+from premia.llm.minhash import near_groups
 from premia.llm.mixing import mix
 from premia.llm.packing import pack
 from premia.llm.secrets import BASE_RULES, find_secrets, span_text
 from premia.llm.shared import bucket_of
 from premia.llm.token_files import read_token_files, write_token_files
 from premia.llm.tokens import public_path
+from premia.llm.vectors import near_vectors
 from premia.llm.warc import read_archives, resolve, rewrite_archives, write_archives
 
 
@@ -30,6 +32,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = bucket_of(F.col("doc_id"), 5) == 0
@@ -38,6 +44,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(_table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in BASE_RULES]
@@ -69,7 +79,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_minhash": op2_minhash,
     "op3_toxicity": op3_toxicity,
+    "op4_vectors": op4_vectors,
     "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
