@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from premia.llm.exact import exact_dedup
+from premia.llm.language import UNDETERMINED, identify, sample
+from premia.llm.minhash import near_groups
+from premia.llm.mixing import mix, repeat
+from premia.llm.packing import pack
 from premia.llm.shared import materialize
+from premia.llm.tokens import public_path
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a language (null, or not a letter) go."""
+    found = identify(docs, sample(docs, F.lit(True)))
+    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +27,28 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group, the document with the smallest doc_id stays."""
+    dropped = near_groups(docs).filter(~F.col("kept")).select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents as often as their sources' targets take them; those of no words, once."""
+    return repeat(docs, mix(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: pieces of at most 2048 tokens and where they stand in their sequences."""
+    return pack(docs, public_path("word_bpe_49k.json"), end=1).drop("ids")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_languages),
     ("exact_dedup", drop_copies),
+    ("minhash_near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 #: SQL can't express the stages; tests hold run() against a brute-force version.
