@@ -139,13 +139,12 @@ def test_lock_and_tampering(spark, tmp_path, finished):
         journal.validate()
 
 
-def flaky(row):
-    if row["claims_5y"] >= 4:
-        raise ValueError("no")
-    return 300.0
-
-
 def test_failed_quote_leaves_the_rest(spark, tmp_path):
+    def flaky(row):
+        if row["claims_5y"] >= 4:
+            raise ValueError("no")
+        return 300.0
+
     config = tiny(tmp_path, mapping_budget=6)
     with pytest.raises(ProviderRejected):
         MappingRun(spark, config, "bad", flaky).run()
@@ -190,7 +189,7 @@ class FakeTransport:
 def test_advisor(spark, tmp_path):
     settings = Advisor(model="m", version="1", digest="a" * 64)
     good = json.dumps({"policy": "explore", "bin_boosts": [{"bin_id": "v1:cat:usage:2", "boost": 1.25}]})
-    config = dataclasses.replace(tiny(tmp_path, strategy="hybrid", mapping_budget=8) if False else tiny(tmp_path), advisor=settings)
+    config = dataclasses.replace(tiny(tmp_path), advisor=settings)
     config = dataclasses.replace(config, sampling=dataclasses.replace(config.sampling, strategy="hybrid", mapping_budget=8))
     advisor = LocalAdvisor(settings, FakeTransport(good))
     MappingRun(spark, config, "h", advisor=advisor).run()
