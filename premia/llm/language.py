@@ -80,16 +80,20 @@ class CrossParser:
         return codes[~again]
 
     def _table(self, step: list[dict[int, int]]) -> np.ndarray:
-        """By state and code: twice the next state's row, plus 1 where a phrase ends before that character."""
-        table = np.empty((len(step), self.width), np.int32)
-        root = np.zeros(self.width, np.int32)
+        """By state and code: twice the next state's row, plus 1 where a phrase ends before that character.
+
+        After the automaton's states comes one for a phrase that is a single character which no sample has.
+        """
+        own = len(step)
+        begin = np.full(self.width, own * self.width * 2, np.int32)
         for c, to in step[0].items():
-            root[c] = to * self.width * 2
-        table[:] = root + 1
-        table[:, FILL] = np.arange(len(step)) * self.width * 2
-        for state, own in enumerate(step):
-            if own:
-                table[state, list(own)] = np.fromiter(own.values(), np.int32, len(own)) * (self.width * 2)
+            begin[c] = to * self.width * 2
+        table = np.tile(begin + 1, (own + 1, 1))
+        table[0] = begin
+        for state in range(1, own):
+            for c, to in step[state].items():
+                table[state, c] = to * self.width * 2
+        table[:, FILL] = np.arange(own + 1) * self.width * 2
         return table.ravel()
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from premia.llm.shared import blocks, ready
 
-#: Letters that look like a-z, and digits and signs that stand for letters.
-HOMOGLYPHS = dict(zip("аеорсухіѕјһԁԛԝαοеνρτικΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТУХ", "aeopcyxisjhdqwaoevptikabezhikmnoptyxabekmhopctyx", strict=True))
+#: Lower-case letters that look like a-z, and digits and signs that stand for letters.
+HOMOGLYPHS = dict(zip("авекмнорстухіѕјһԁԛԝαβεηικμνορτυχ", "abekmhopctyxisjhdqwabehikmvoptux", strict=True))
 SUBSTITUTES = dict(zip("01345789@$€", "oieastbgase", strict=True))
 _FOLD = {ord(k): v for k, v in (HOMOGLYPHS | SUBSTITUTES).items()}
 _APART = re.compile(r"[\W_]+")
@@ -31,7 +31,7 @@ _automata: dict[tuple, object] = {}
 
 def fold(text: str) -> str:
     """Words in lower case with look-alikes folded, each between single spaces."""
-    return f" {_APART.sub(' ', text.translate(_FOLD).lower()).strip()} "
+    return f" {_APART.sub(' ', text.lower().translate(_FOLD)).strip()} "
 
 
 def terms_of(folded: str) -> set[str]:
