@@ -193,7 +193,7 @@ def _build(kind: type, raw: Any, where: str) -> Any:
         raise ConfigError(f"{where}: unknown {sorted(unknown)}")
     values: dict[str, Any] = {}
     for name, value in raw.items():
-        if name in _SECTIONS:
+        if name in _SECTIONS and kind in (Config, Sampling):
             values[name] = None if value is None else _build(_SECTIONS[name], value, name)
             continue
         if name == "bounds":

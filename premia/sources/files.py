@@ -9,6 +9,7 @@ from collections.abc import Iterable, Mapping
 from pathlib import Path
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def _cells(spark: SparkSession, path: str, columns: Iterable[str]) -> DataFrame:
     try:
         held = reader.csv(path)
         held.limit(1).count()
-    except PySparkException as e:
+    except (PySparkException, Py4JError) as e:
         raise SourceError(f"{path}: {str(e).splitlines()[0]}") from e
     return held
 
@@ -41,7 +42,7 @@ def _first_problem(rows: DataFrame, problems: Mapping[str, Any]) -> str | None:
     """The name of the first rule that any row breaks; one pass counts them all."""
     try:
         counts = rows.agg(F.count("*").alias("rows"), *(F.count_if(rule).alias(name) for name, rule in problems.items())).first()
-    except PySparkException as e:
+    except (PySparkException, Py4JError) as e:
         raise SourceError(f"malformed rows: {str(e).splitlines()[0]}") from e
     return "no rows" if not counts["rows"] else next((n for n in problems if counts[n]), None)
 
