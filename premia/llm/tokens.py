@@ -15,6 +15,8 @@ PIECE_CHARS, KEPT_PIECES = 48, 500_000
 _BLANK = r"[\s\x1c-\x1f\x85\u180e\u200b\ufeff]"
 _BLANK_SPACE = re.compile(_BLANK + " ")
 _OWN_SPACE = re.compile(f"(?<!{_BLANK}) ")
+#: A piece of one word of letters that no rule changes but by case, and then signs that no rule joins to it.
+_SIMPLE = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|&%$#*]*)")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -26,6 +28,13 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: itself where it can be seen, else one from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class _Kept(dict):
     """Ids by piece; `spare` holds those of the texts at hand that aren't kept."""
 
@@ -53,6 +62,9 @@ class Encoder:
             self.rule = self._rule(json.load(f))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kept = _Kept()
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.signs: dict[str, bytes] = {}
 
     @staticmethod
     def _rule(file: dict) -> Callable[[str], list[str]] | None:
@@ -63,6 +75,8 @@ class Encoder:
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not norm:
             return Encoder._with_space
         steps = before.get("pretokenizers", [])
+        if not steps or steps[-1].get("type") != "ByteLevel" or steps[-1].get("use_regex"):
+            return None
         replaced = [n for n in norm.get("normalizers", []) if n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"}]
         if steps and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and replaced and {n["type"] for n in norm["normalizers"]} <= {"NFC", "Replace", "Lowercase"}:
             return Encoder._between_blanks
@@ -80,6 +94,32 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _word(self, blank: str, word: str) -> bytes:
+        """Ids of a word of letters, asked of the library's model itself, which takes a word's bytes as letters."""
+        text = blank + word if self.rule is Encoder._with_space else word.lower()
+        return np.array([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; a word is encoded once for all the signs that may follow it."""
+        found: list[bytes | None] = [None] * len(pieces)
+        other: list[int] = []
+        for i, piece in enumerate(pieces):
+            simple = _SIMPLE.fullmatch(piece)
+            if simple is None:
+                other.append(i)
+                continue
+            blank, word, signs = simple.groups()
+            ids = self.kept.get(blank + word) if signs else None
+            ids = self._word(blank, word) if ids is None else ids
+            if signs:
+                if signs not in self.signs:
+                    self.signs[signs] = self._plain([signs])[0]
+                ids += self.signs[signs]
+            found[i] = ids
+        for i, ids in zip(other, self._plain([pieces[i] for i in other]), strict=True):
+            found[i] = ids
+        return found
+
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, with the id `end` appended."""
         last = np.array([end], self.dtype).tobytes()
@@ -90,7 +130,7 @@ class Encoder:
         spare = self.kept.spare = {}
         room = KEPT_PIECES - len(self.kept)
         for at in range(0, len(new), 10_000):
-            for piece, ids in zip(new[at : at + 10_000], self._plain(new[at : at + 10_000]), strict=True):
+            for piece, ids in zip(new[at : at + 10_000], self._pieces(new[at : at + 10_000]), strict=True):
                 if room > 0 and len(piece) <= PIECE_CHARS:
                     self.kept[piece] = ids
                     room -= 1
