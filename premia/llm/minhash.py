@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -15,14 +17,12 @@ from premia.llm import bloom
 from premia.llm.components import connected_components
 from premia.llm.shared import blocks, materialize, ready
 
-#: Collections of half-bands and hashes of each: HALVES * HALVES tables from 2 * HALVES * HASHES minhashes.
-HALVES, HASHES = 6, 3
+#: Minhashes of a half-band, and how likely a pair that just reaches the threshold may share no table's key.
+HASHES, MISS = 3, 5e-5
 #: Shingles whose documents one task compares; a larger group is compared block by block.
 TASK_SHINGLES = 1_000_000
 
 _rng = np.random.default_rng(20)
-_XOR = _rng.integers(0, 2**64, 2 * HALVES * HASHES, np.uint64)
-_TIMES = _rng.integers(0, 2**64, 2 * HALVES * HASHES, np.uint64) | np.uint64(1)
 _SALTS = [np.uint64(x) for x in _rng.integers(0, 2**64, 64, np.uint64) | np.uint64(1)]
 
 
@@ -43,20 +43,40 @@ def shingles(text: str, width: int = 5) -> np.ndarray:
     return np.unique(mixed)
 
 
-def halves(found: np.ndarray) -> list[int]:
-    """Two collections of HALVES half-bands, each of HASHES minhashes, as signed 64-bit numbers."""
-    least = np.full(len(_XOR), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 4096):
-        part = found[at : at + 4096]
-        for k in range(len(_XOR)):
-            least[k] = min(least[k], ((part ^ _XOR[k]) * _TIMES[k]).min())
-    return [int(np.int64(np.uint64(xxhash.xxh64_intdigest(x.tobytes())).astype(np.int64))) for x in least.reshape(-1, HASHES)]
+def halves_for(percent: int) -> int:
+    """Half-bands of a collection, the fewest that MISS allows at the threshold: 12 for 85, 15 for 80.
+
+    A pair of similarity s has no equal half-band in a collection with probability (1 - s^HASHES)^halves, and shares
+    a key if it has one in both.
+    """
+    agree = (percent / 100) ** HASHES
+    return 1 if agree >= 1 else math.ceil(math.log1p(-math.sqrt(1 - MISS)) / math.log1p(-agree))
+
+
+@cache
+def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What n minhashes are made with."""
+    rng = np.random.default_rng(21)
+    return rng.integers(0, 2**64, (n, 1), np.uint64), rng.integers(0, 2**64, (n, 1), np.uint64) | np.uint64(1)
+
+
+def halves(found: np.ndarray, n: int) -> list[int]:
+    """Two collections of n half-bands, each of HASHES minhashes, as signed 64-bit numbers."""
+    xor, times = _constants(2 * n * HASHES)
+    least = np.full(len(xor), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 512):
+        least = np.minimum(least, ((found[at : at + 512] ^ xor) * times).min(1))
+    mixed = np.zeros(2 * n, np.uint64)
+    for i, own in enumerate(least.reshape(-1, HASHES).T):
+        mixed = (mixed ^ own) * _SALTS[i]
+        mixed ^= mixed >> np.uint64(29)
+    return mixed.view(np.int64).tolist()
 
 
-def _sketch(docs: DataFrame, width: int) -> DataFrame:
+def _sketch(docs: DataFrame, width: int, n: int) -> DataFrame:
     """id, n_shingles, set (digest of the shingle set, null if empty), h0, h1, ... (half-bands)."""
-    names = [f"h{i}" for i in range(2 * HALVES)]
-    schema = pa.schema([("n_shingles", pa.int64()), ("set", pa.binary()), *((n, pa.int64()) for n in names)])
+    names = [f"h{i}" for i in range(2 * n)]
+    schema = pa.schema([("n_shingles", pa.int64()), ("set", pa.binary()), *((h, pa.int64()) for h in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,11 +84,11 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
                 rows = []
                 for text in block.column("text").to_pylist():
                     found = shingles(text or "", width)
-                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), *halves(found)) if len(found) else (0, None, *[None] * len(names)))
+                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), *halves(found, n)) if len(found) else (0, None, *[None] * len(names)))
                 columns = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays([block.column("id"), *columns], names=["id", *schema.names])
 
-    return docs.mapInArrow(run, f"id long, n_shingles long, set binary, {', '.join(f'{n} long' for n in names)}")
+    return docs.mapInArrow(run, f"id long, n_shingles long, set binary, {', '.join(f'{h} long' for h in names)}")
 
 
 def links_within(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -112,8 +132,8 @@ def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str
     """One row per row of docs: id_col, n_shingles, component_id (smallest id that links reach), kept (id = component_id).
 
     Documents are linked where 100 * common shingles >= percent * all shingles of both. Each document gets two
-    collections of HALVES half-bands; every pair of one from each makes a table's key, so that few minhashes fill
-    many tables. Equal sets are one class, by its smallest id. Classes that share a key become candidate groups;
+    collections of halves_for(percent) half-bands; every pair of one from each makes a table's key, so that few
+    minhashes fill many tables. Equal sets are one class, by its smallest id. Classes that share a key become candidate groups;
     each group's whole sets are compared exactly, in one task or, beyond TASK_SHINGLES, for each pair of its
     blocks, and what is linked is reported as a forest. No pair within a group is emitted, none is capped.
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat an id are each
@@ -122,11 +142,12 @@ def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str
     """
     ready(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sketches = materialize(_sketch(texts, width), "sketches")
-    names = [f"h{i}" for i in range(2 * HALVES)]
-    classes = materialize(sketches.filter("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), *(F.first(n).alias(n) for n in names)), "classes")
-    tables = F.explode(F.array(*(F.xxhash64(F.lit(i * HALVES + j), f"h{i}", f"h{HALVES + j}") for i in range(HALVES) for j in range(HALVES))))
-    keys = classes.select("rep", tables.alias("key"))
+    n = halves_for(percent)
+    sketches = materialize(_sketch(texts, width, n), "sketches")
+    names = [f"h{i}" for i in range(2 * n)]
+    classes = materialize(sketches.filter("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), *(F.first(h).alias(h) for h in names)), "classes")
+    pairs = classes.select("rep", F.array(*names[n:]).alias("others"), F.posexplode(F.array(*names[:n])).alias("i", "half")).select("rep", "i", "half", F.posexplode("others").alias("j", "other"))
+    keys = pairs.select("rep", F.xxhash64("i", "j", "half", "other").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1").select("key", "least")
     candidates = materialize(keys.join(materialize(shared, "keys"), "key").filter("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "candidates")
     groups = materialize(connected_components(candidates), "groups")

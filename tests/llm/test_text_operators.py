@@ -101,6 +101,18 @@ def test_near(docs, clashing, empty, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_groups(docs).collect()), key=str) == want
 
 
+@pytest.mark.parametrize(("percent", "size"), [(85, 62), (80, 45)])
+def test_near_finds_pairs_at_the_threshold(spark, percent, size):
+    """Each text's copy differs in one word, so in 5 of its shingles: size - 5 are common of size + 5. MISS leaves 0.1 of 2000."""
+    assert percent <= 100 * (size - 5) / (size + 5) < percent + 1
+    rows = []
+    for i in range(2000):
+        own = [f"w{i}x{k}" for k in range(size + 4)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:20], "zzz", *own[21:]]))]
+    found = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+    assert len([r.doc_id for r in found if r.component_id != r.doc_id // 2 * 2]) <= 1
+
+
 def test_links_within():
     rng = random.Random(1)
     sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randrange(1, 40))], np.uint64)) for _ in range(80)]
