@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ SUBSTITUTES = dict(zip("01345789@$€", "oieastbgase", strict=True))
 _FOLD = {ord(k): v for k, v in (HOMOGLYPHS | SUBSTITUTES).items()}
 _APART = re.compile(r"[\W_]+")
 #: Labelled documents of a class that are learned from, about; lengths of word beginnings; share of toxic documents that
-#: an entry is in; log-odds of an entry; those below which a longer phrase is an exception; documents that show it.
-SAMPLE, STARTS, SHARE, ODDS, EXCEPTION_ODDS, SHOWN = 20_000, range(4, 11), 0.004, 4.0, 0.5, 2
+#: an entry is in; log-odds of an entry; those below which a longer phrase is an exception; documents that show it; its
+#: most words.
+SAMPLE, STARTS, SHARE, ODDS, EXCEPTION_ODDS, SHOWN, SPAN = 20_000, range(4, 11), 0.004, 4.0, 0.5, 2, 3
 #: How lengths may be counted: the weights are divided by words to this power.
 POWERS = (0.0, 0.25, 0.5, 0.75)
 
@@ -82,6 +84,20 @@ class Lexicon:
                 found[at] = weight
         return sum(w for at, w in found.items() if not any(a <= at < b for a, b in spared)), words
 
+    def around(self, folded: str) -> set[str]:
+        """What an exception may be: each word with an entry and the sequences of at most SPAN words that hold it."""
+        automaton = self.automaton()
+        hits = {end - length + 1 for end, (length, _) in automaton.iter(folded)} if len(automaton) else set()
+        if not hits:
+            return set()
+        words = folded.split()
+        places = dict(zip(accumulate((len(w) + 1 for w in words), initial=0), range(len(words)), strict=False))
+        found = set()
+        for k in (places[at] for at in hits):
+            for i in range(max(0, k - SPAN + 1), k + 1):
+                found.update(f" {' '.join(words[i:j])} " for j in range(k + 1, min(len(words), i + SPAN) + 1))
+        return found
+
     def score(self, text: str) -> float:
         weight, words = self.sums(text)
         return 1 / (1 + math.exp(-(self.offset + self.slope * math.log1p(weight / max(words, 1) ** self.power))))
@@ -101,15 +117,15 @@ def _labelled(docs: DataFrame, labels: DataFrame, train: F.Column) -> tuple[Data
     return texts, {k: 1 / s for k, s in share.items()}
 
 
-def _counted(texts: DataFrame, candidates: frozenset[str] | None) -> DataFrame:
-    """In how many texts each term is; of candidates only, if they are given."""
+def _counted(texts: DataFrame, terms: Callable[[str], set[str]], candidates: frozenset[str] | None = None) -> DataFrame:
+    """In how many texts each of their terms is; of candidates only, if they are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
         for batch in batches:
             for block in blocks(batch, "text"):
                 for text in block.column("text").to_pylist():
-                    found = terms_of(fold(text))
+                    found = terms(fold(text))
                     held.update(found if candidates is None else found & candidates)
                 if len(held) > 300_000:
                     yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
@@ -140,8 +156,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: F.Column) -> Lexicon:
     """A lexicon from labels (doc_id, toxic) of docs (doc_id, text); train: the labels' rows that may be used.
 
     Entries: words and beginnings of words that SHARE of the toxic documents hold and whose log-odds are ODDS or
-    more; a beginning replaces all that it begins. Exception phrases: words that hold an entry and yet are in SHOWN
-    clean documents and no likelier in toxic ones. The score's two numbers and the power of the length that fits
+    more; a beginning replaces all that it begins. Exception phrases: words that hold an entry, and sequences of at most
+    SPAN words with one, that yet are in SHOWN clean documents and whose log-odds are EXCEPTION_ODDS or less, whether
+    toxic documents hold them or not. The score's two numbers and the power of the length that fits
     best come from a logistic regression on the sums that the entries give on the same rows. Without documents of
     both classes there are no entries.
     """
@@ -151,15 +168,22 @@ def learn(docs: DataFrame, labels: DataFrame, train: F.Column) -> Lexicon:
     if not rows.get(1) or not rows.get(0):
         return Lexicon()
     least = max(3, math.ceil(SHARE * rows[1]))
-    toxic = {r.term: r.n for r in _counted(texts.filter("toxic = 1"), None).filter(F.col("n") >= least).collect()}
-    clean = {r.term: r.n for r in _counted(texts.filter("toxic = 0"), frozenset(toxic)).collect()}
-    odds = {t: math.log((n + 0.5) / (rows[1] + 1)) - math.log((clean.get(t, 0) + 0.5) / (rows[0] + 1)) for t, n in toxic.items()}
+    toxic = {r.term: r.n for r in _counted(texts.filter("toxic = 1"), terms_of).filter(F.col("n") >= least).collect()}
+    clean = {r.term: r.n for r in _counted(texts.filter("toxic = 0"), terms_of, frozenset(toxic)).collect()}
+
+    def log_odds(n: int, others: int) -> float:
+        return math.log((n + 0.5) / (rows[1] + 1)) - math.log((others + 0.5) / (rows[0] + 1))
+
+    odds = {t: log_odds(n, clean.get(t, 0)) for t, n in toxic.items()}
     entries: dict[str, float] = {}
     for term in sorted((t for t in odds if odds[t] >= ODDS), key=lambda t: (len(t), t)):
         if not any(term[:n] in entries for n in range(len(term))):
             entries[term] = round(odds[term], 4)
-    spared = {t for t in clean if clean[t] >= SHOWN and t.endswith(" ") and odds[t] <= EXCEPTION_ODDS and any(t[:n] in entries for n in range(len(t)))}
-    plain = Lexicon(tuple(sorted(entries.items())), tuple(sorted(spared)))
+    bare = Lexicon(tuple(sorted(entries.items())))
+    shown = {r.term: r.n for r in _counted(texts.filter("toxic = 0"), bare.around).filter(F.col("n") >= SHOWN).collect()} if entries else {}
+    bad = {r.term: r.n for r in _counted(texts.filter("toxic = 1"), bare.around, frozenset(shown)).collect()} if shown else {}
+    spared = {t for t, n in shown.items() if log_odds(bad.get(t, 0), n) <= EXCEPTION_ODDS}
+    plain = Lexicon(bare.entries, tuple(sorted(spared)))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -365,6 +365,20 @@ def test_exception_phrases():
     assert fold("Ѕtυрid  1t!") == " stupid it "
 
 
+def test_exception_phrases_are_learned(spark):
+    """From words and sequences that clean documents alone hold."""
+    rng = random.Random(4)
+    said = {1: ["you trash"], 0: ["stone"] * 394 + ["a trashcan"] * 3 + ["white trash paint"] * 3}
+    rows = [(" ".join([*rng.choices(("tree", "house", "water", "river"), k=6), x, *rng.choices(("tree", "house"), k=3)]), y) for y, own in said.items() for x in (own * 100 if y else own)]
+    table = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    lexicon = learn(table, labels, F.lit(True))
+    assert {" trashcan ", " a trashcan ", " white trash ", " white trash paint "} <= set(lexicon.exceptions)
+    assert " trash " not in lexicon.exceptions and not [x for x in lexicon.exceptions if "you" in x]
+    found = {r.doc_id: r.score for r in score(table, lexicon).collect()}
+    assert all((found[i] >= 0.5) == y for i, (_, y) in enumerate(rows))
+
+
 def test_secrets(docs, clashing, empty, spark):
     key, run = "AKIA" + "Z" * 16, "0123456789abcdef01234567"
     texts = ["password=abcdef", "PassWD: \"abc\" token = 'abcdefg'", f"x{key}", key[:-1], run, run[:-1] + "g", f"api_key={run}", "é token:abcdef", "passwd=token:abcdef", "ſecret=abcdefg", "ghp_" + "a" * 36, f"{run} {run.upper()}", "-----BEGIN RSA PRIVATE KEY-----"]
