@@ -17,8 +17,11 @@ from premia.llm.shared import blocks, ready
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 400
 #: Characters that are parsed in one go; a longer text's parts are parsed one by one and their phrases added.
 PART = 512
-#: Codes of characters: letters that no sample has, anything but letters, and what fills up a part.
-UNKNOWN, GAP, FILL = 0, 1, 2
+#: Codes of characters: letters that no sample has, anything but letters, what fills up a part, and letters of other
+#: languages' samples only.
+UNKNOWN, GAP, FILL, OTHER = 0, 1, 2, 3
+#: Codes of a language up to which its table has a column for each; with more, transitions are looked up by key.
+DENSE = 256
 UNDETERMINED = "und"
 
 _parsers: dict[tuple, CrossParser] = {}
@@ -59,18 +62,22 @@ class CrossParser:
 
     def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
         self.languages = [lang for lang, _ in samples]
-        letters = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})[:250]
-        self.code = np.full(sys.maxunicode + 1, GAP, np.uint8)
+        raw = {c for _, text in samples for c in text if c.isalpha()}
+        letters = sorted({c.lower() if len(c.lower()) == 1 else c for c in raw})
+        self.code = np.full(sys.maxunicode + 1, GAP, np.int32)
         self.code[[i for i in range(sys.maxunicode + 1) if chr(i).isalpha()]] = UNKNOWN
         self.letter = self.code == UNKNOWN
         for i, c in enumerate(letters):
             for form in {c, c.upper()}:
                 if len(form) == 1:
-                    self.code[ord(form)] = FILL + 1 + i
-        self.width = FILL + 1 + len(letters)
+                    self.code[ord(form)] = OTHER + 1 + i
+        for c in raw:  # its lower case has another upper case
+            if self.code[ord(c)] == UNKNOWN:
+                self.code[ord(c)] = self.code[ord(c.lower())]
         coded = [self._codes(text) for _, text in samples]
         self.bits = [math.log2(max(2, len(c))) for c in coded]
-        self.tables = [self._table(suffix_automaton(c.tolist())) for c in coded]
+        self.own = [self._renumbered(c, OTHER + 1 + len(letters)) for c in coded]
+        self.tables = [self._table(suffix_automaton(own[c].tolist()), int(own.max()) + 1) for own, c in zip(self.own, coded, strict=True)]
 
     def _codes(self, text: str) -> np.ndarray:
         codes = self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -79,21 +86,38 @@ class CrossParser:
         again[1:] = gap[1:] & gap[:-1]
         return codes[~again]
 
-    def _table(self, step: list[dict[int, int]]) -> np.ndarray:
+    @staticmethod
+    def _renumbered(codes: np.ndarray, width: int) -> np.ndarray:
+        """A language's own code for each code."""
+        own = np.full(width, OTHER, np.int32)
+        own[:OTHER] = range(OTHER)
+        letters = np.unique(codes[codes > OTHER])
+        own[letters] = np.arange(OTHER + 1, OTHER + 1 + len(letters))
+        return own
+
+    @staticmethod
+    def _table(step: list[dict[int, int]], width: int) -> np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By state and code: twice the next state's row, plus 1 where a phrase ends before that character.
 
-        After the automaton's states comes one for a phrase that is a single character which no sample has.
+        After the automaton's states comes one for a phrase that is a single character which the sample lacks. With
+        more than DENSE codes: keys (state times codes plus code) of all transitions but the first state's, in order,
+        twice the states that they lead to, and twice the states that each code leads to at a phrase's beginning.
         """
         own = len(step)
-        begin = np.full(self.width, own * self.width * 2, np.int32)
+        if width > DENSE:
+            begin = np.full(width, own * 2, np.int64)
+            begin[list(step[0])] = [to * 2 for to in step[0].values()]
+            edges = sorted((state * width + c, to * 2) for state in range(1, own) for c, to in step[state].items())
+            return *np.array(edges or [(-1, 0)], np.int64).T.copy(), begin
+        begin = np.full(width, own * width * 2, np.int32)
         for c, to in step[0].items():
-            begin[c] = to * self.width * 2
+            begin[c] = to * width * 2
         table = np.tile(begin + 1, (own + 1, 1))
         table[0] = begin
         for state in range(1, own):
             for c, to in step[state].items():
-                table[state, c] = to * self.width * 2
-        table[:, FILL] = np.arange(own + 1) * self.width * 2
+                table[state, c] = to * width * 2
+        table[:, FILL] = np.arange(own + 1) * width * 2
         return table.ravel()
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +125,7 @@ class CrossParser:
         parts, owner, lettered = [], [], np.zeros(len(texts), bool)
         for i, text in enumerate(texts):
             codes = self._codes(text)
-            lettered[i] = bool(((codes == UNKNOWN) | (codes > FILL)).any())
+            lettered[i] = bool(((codes == UNKNOWN) | (codes > OTHER)).any())
             for at in range(0, len(codes), PART):
                 parts.append(codes[at : at + PART])
                 owner.append(i)
@@ -115,10 +139,17 @@ class CrossParser:
             matrix[: len(parts[k]), column] = parts[k]
         live = np.searchsorted(-sizes, -np.arange(len(matrix)), side="left")  # parts longer than each step
         owners = np.array(owner)[order]
-        for j, table in enumerate(self.tables):
-            row, ended = np.zeros(len(parts), np.int32), np.ones(len(parts), np.int64)
+        for j, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
+            codes = own[matrix]
+            row, ended = np.zeros(len(parts), np.int64 if isinstance(table, tuple) else np.int32), np.ones(len(parts), np.int64)
             for step, n in enumerate(live.tolist()):
-                to = table[row[:n] + matrix[step, :n]]
+                if isinstance(table, tuple):
+                    keys, states, begin = table
+                    key = row[:n] * len(begin) + codes[step, :n]
+                    at = np.searchsorted(keys, key).clip(max=len(keys) - 1)
+                    to = np.where(keys[at] == key, states[at], begin[codes[step, :n]] + (row[:n] != 0))
+                else:
+                    to = table[row[:n] + codes[step, :n]]
                 ended[:n] += to & 1
                 row[:n] = to >> 1
             np.add.at(found[:, j], owners, ended)

@@ -323,6 +323,28 @@ def test_cross_parsing_counts_longest_matches():
             assert row[j] == count
 
 
+def test_cross_parsing_of_many_letters():
+    """Every letter of the samples counts as itself, whatever their number."""
+    rng = random.Random(6)
+    han, hangul = ([chr(start + i) for i in range(300)] for start in (0x4E00, 0xAC00))
+    a, b = ("".join(rng.choices(x, k=900)) for x in (han, hangul))
+    samples = (("en", "the cat sat on the mat " * 40), ("ko", b), ("zh", a))
+    parser = CrossParser(samples)
+    texts = [a[100:180], b[300:390], "".join(rng.choices(han, k=80)), "".join(rng.choices(hangul, k=80)), "ααβ γδ", "the cat"]
+    found, _ = parser.phrases(texts)
+    for row, text in zip(found, texts, strict=True):
+        for j, (_, own) in enumerate(samples):
+            count = i = 0
+            while i < len(text):
+                n = 1
+                while i + n <= len(text) and text[i : i + n] in own:
+                    n += 1
+                i += max(1, n - 1)
+                count += 1
+            assert row[j] == count
+    assert [lang for lang, _ in parser.predict(texts[:4])] == ["zh", "ko", "zh", "ko"]
+
+
 def test_language(spark, sf_dir, docs, clashing, empty):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = bucket_of(F.col("doc_id"), 4) == 2
