@@ -167,13 +167,16 @@ class CrossParser:
         return [(self.languages[b], float(s)) if has else (UNDETERMINED, 0.0) for b, s, has in zip(best, score, lettered, strict=True)]
 
 
-def sample(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
-    """Labelled text per language, in the languages' order: the first SAMPLE_CHARS characters of SAMPLE_DOCS documents at most.
+def sample(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
+    """Labelled text per language, in the languages' order: SAMPLE_CHARS characters of SAMPLE_DOCS different texts at most.
 
-    Of the rows where train holds, one of each of SAMPLE_DOCS slots of hashed ids is taken, for each language.
+    Of the rows where train holds, one of each of SAMPLE_DOCS slots of hashed texts is taken, for each language, so
+    that copies count once. Of a longer text the characters are taken at a hashed place, not at its beginning.
     """
-    order = F.xxhash64(F.col(f"`{id_col}`"))
-    labelled = docs.filter(train & F.col(f"`{lang_col}`").isNotNull() & (F.length(F.col(f"`{text_col}`")) > 0)).select(F.col(f"`{lang_col}`").alias("lang"), order.alias("order"), F.substring(F.col(f"`{text_col}`"), 1, SAMPLE_CHARS).alias("text"))
+    text = F.col(f"`{text_col}`")
+    order = F.xxhash64(text)
+    start = F.pmod(F.xxhash64(text, F.lit("start")), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    labelled = docs.filter(train & F.col(f"`{lang_col}`").isNotNull() & (F.length(text) > 0)).select(F.col(f"`{lang_col}`").alias("lang"), order.alias("order"), F.substring(text, start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     slot = F.pmod("order", F.lit(SAMPLE_DOCS)).alias("slot")
     chosen = {(r.lang, r.first) for r in labelled.groupBy("lang", slot).agg(F.min("order").alias("first")).collect()}
     texts: dict[str, dict[int, str]] = {}

@@ -357,6 +357,14 @@ def test_language(spark, sf_dir, docs, clashing, empty):
     assert identify(docs, ()).filter("lang_pred <> 'und'").count() == 0 and identify(empty, samples).count() == 0 and sample(empty, F.lit(True)) == ()
 
 
+def test_language_samples_come_from_anywhere_in_different_texts(spark):
+    rng = random.Random(8)
+    texts = ["shared header " * 50 + "".join(rng.choices("abcdefgh ", k=4000)) for _ in range(30)] + ["copied words here"] * 400
+    ((lang, found),) = sample(spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "doc_id long, text string, lang string"), F.lit(True))
+    assert lang == "en" and found.count("copied words here") <= 1
+    assert found.count("shared header") * len("shared header ") < len(found) / 2
+
+
 def test_held_out_rows_teach_nothing(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = bucket_of(F.col("doc_id"), 4) == 2
