@@ -28,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each group, the document with the smallest doc_id stays."""
+    """MinHash near-dedup: of documents linked at 0.85 or more, the one with the smallest doc_id stays."""
     dropped = near_groups(docs).filter(~F.col("kept")).select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
