@@ -21,9 +21,16 @@ BLOCK_ROWS, BLOCK_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset.
+
+    Only a session whose executors are threads of the driver gets one of our own; elsewhere it would be another
+    folder on each machine, so that raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/premia-checkpoints"
         os.makedirs(root.removeprefix("file://"), exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -44,6 +51,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows, of which few are and each means much work, in a partition for each value of key."""
+    return rows.repartitionByRange(max(1, rows.select(key).distinct().count()), key)
+
+
 def ready(spark: SparkSession) -> None:
     """Lets Python workers import this package when it was found by a path of the driver's own."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from premia.llm import tokens
 from premia.llm.eliasfano import EliasFano, encode
-from premia.llm.shared import blocks, materialize, new_folder, ready
+from premia.llm.shared import blocks, materialize, new_folder, ready, spread
 
 _TAIL = struct.Struct("<8sBxxxxxxxQQQQQ")  # mark, bytes an id, documents, of them without doc_id, ids, bytes of the boundaries, of the doc_ids
 MARK = b"EFTOKENS"
@@ -66,7 +66,8 @@ def _write(batches: Iterator[pa.RecordBatch], shard: int, folder: str, tokenizer
                 lengths += map(len, found)
                 names += [x for x in block.column("doc_id").to_pylist() if x is not None]
         ends, ids = encode(np.cumsum(np.array(lengths, np.int64))), encode(np.array(names, np.int64))
-        out.write(ends + ids + _TAIL.pack(MARK, enc.dtype.itemsize, len(lengths), len(lengths) - len(names), sum(lengths), len(ends), len(ids)))
+        nulls = len(lengths) - len(names)
+        out.write(ends + ids + _TAIL.pack(MARK, enc.dtype.itemsize, len(lengths), nulls, sum(lengths), len(ends), len(ids)))
     if not lengths:
         store.delete_file(own)
         return None
@@ -74,13 +75,15 @@ def _write(batches: Iterator[pa.RecordBatch], shard: int, folder: str, tokenizer
     return final, len(lengths), sum(lengths)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end: int = 0, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(
+    docs: DataFrame, tokenizer: str, end: int = 0, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Writes docs in ascending order of id to token-id files; returns their manifest: shard, path, documents, ids, start.
 
     tokenizer: a tokenizers file that all executors have. Each text's ids are followed by `end`. folder: any store
     that pyarrow.fs opens, by default one in the shared folder. Documents without an id come first; a null text is
-    empty; documents that repeat an id stay, in the order of their texts; other columns are ignored; an empty table
-    gives no files. start: ids in all files before.
+    empty; documents that repeat an id stay, in a fixed order; other columns are ignored; an empty table gives no
+    files. start: ids in all files before.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -89,18 +92,22 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int = 0, folder: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         if found := _write(batches, shard, folder, tokenizer, end):
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": found[0], "documents": found[1], "ids": found[2]}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
+            kinds = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": found[0], "documents": found[1], "ids": found[2]}], kinds)
 
-    ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = materialize(ordered.mapInArrow(write, "shard int, path string, documents long, ids long"), "manifest")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    # the hash parts documents that repeat an id, so that none of them, nor null, fills one file
+    ordered = texts.withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    manifest = materialize(ordered.drop("hash").mapInArrow(write, "shard int, path string, documents long, ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.select("*", F.lit(folder).alias("folder"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Reads the files of a manifest back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+    """Reads the files of a manifest back, a task for each: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    ids_crc32: unsigned crc32 of the document's ids as little-endian unsigned 32-bit integers.
+    ids_crc32: unsigned crc32 of the document's ids as little-endian unsigned 32-bit integers. A document without an
+    id has doc_id null; an empty document has its end id alone; an empty manifest gives no rows.
     """
     ready(manifest.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -116,7 +123,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     cuts = (bounds - bounds[0]).tolist()
                     held = file.tokens(int(bounds[0]), int(bounds[-1])).astype("<u4")
                     crcs = [zlib.crc32(held[a:b]) for a, b in zip(cuts, cuts[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids(at, stop), pa.int64()), pa.array(bounds[:-1] + row["start"], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crcs, pa.int64())], schema=schema)
+                    columns = (file.doc_ids(at, stop), bounds[:-1] + row["start"], np.diff(bounds), crcs)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    rows = manifest.select("path", "folder", "start")
-    return rows.repartition(F.col("path")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = spread(manifest.select("path", "folder", "start"), "path")
+    return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -5,18 +5,21 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces of at most PIECE_CHARS characters are kept, KEPT_PIECES of them at most, which bounds a worker's memory.
-PIECE_CHARS, KEPT_PIECES = 48, 500_000
-#: A space starts a new piece unless one of these precedes it.
+#: Pieces of at most PIECE_CHARS characters are kept, about KEPT_PIECES of them, which bounds a worker's memory.
+PIECE_CHARS, KEPT_PIECES = 48, 800_000
+#: What no rule joins to a following space, letters that no rule changes but by case, and signs that no rule joins to them.
 _BLANK = r"[\s\x1c-\x1f\x85\u180e\u200b\ufeff]"
-_BLANK_SPACE = re.compile(_BLANK + " ")
-_OWN_SPACE = re.compile(f"(?<!{_BLANK}) ")
-#: A piece of one word of letters that no rule changes but by case, and then signs that no rule joins to it.
-_SIMPLE = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|&%$#*]*)")
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?|&%$#*"
+#: Pieces of a text: a word of letters before a space, a line's end or signs; signs before a space or a line's end; a single
+#: line's end; else all up to the next space that doesn't follow white space.
+_WITH_SPACE = re.compile(rf" ?[{_LETTERS}]+(?=[ \n{_SIGNS}]|\Z)| ?[{_SIGNS}]+(?=[ \n]|\Z)|\n(?!{_BLANK})(?!\Z)| ?(?:[^ ]|(?<={_BLANK}) )+| ")
+_BETWEEN_BLANKS = re.compile(rf"[{_LETTERS}]+(?=[ \n{_SIGNS}]|\Z)|[{_SIGNS}]+(?=[ \n]|\Z)|[^ \n]+")
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -36,12 +39,21 @@ def _byte_letters() -> dict[int, int]:
 
 
 class _Kept(dict):
-    """Ids by piece; `spare` holds those of the texts at hand that aren't kept."""
+    """Ids by piece, in two generations: the older one goes when the younger is full, so that pieces in use stay."""
 
-    spare: dict[str, bytes]
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.older = make, {}
 
     def __missing__(self, piece: str) -> bytes:
-        return self.spare[piece]
+        ids = self.older.get(piece) or self.make(piece)
+        if len(piece) <= PIECE_CHARS:
+            self[piece] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > KEPT_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -49,8 +61,9 @@ class Encoder:
 
     Where the file's rules never join what stands on both sides of a space, a text's ids are those of its pieces,
     one after the other, so that each piece is encoded once: with byte-level pre-tokenization a piece starts at a
-    space that doesn't follow white space; with rules that drop white space it is what stands between blanks. Other
-    files encode whole texts.
+    space that doesn't follow white space; with rules that drop white space it is what stands between blanks. Within
+    such a piece, a word of letters, the signs that end it and a single line's end are pieces of their own, as both
+    kinds of rules cut there. Other files encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,83 +74,52 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.rule = self._rule(json.load(f))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept = _Kept()
+        self.kept = _Kept(self._ids)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.signs: dict[str, bytes] = {}
+        self.spaced = self.rule is _WITH_SPACE
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
 
     @staticmethod
-    def _rule(file: dict) -> Callable[[str], list[str]] | None:
+    def _rule(file: dict) -> re.Pattern | None:
         before, norm = file.get("pre_tokenizer") or {}, file.get("normalizer") or {}
         spaced = any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in file.get("added_tokens", []))
         if spaced:
             return None
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not norm:
-            return Encoder._with_space
+            return _WITH_SPACE
         steps = before.get("pretokenizers", [])
         if not steps or steps[-1].get("type") != "ByteLevel" or steps[-1].get("use_regex"):
             return None
         replaced = [n for n in norm.get("normalizers", []) if n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"}]
         if steps and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and replaced and {n["type"] for n in norm["normalizers"]} <= {"NFC", "Replace", "Lowercase"}:
-            return Encoder._between_blanks
+            return _BETWEEN_BLANKS
         return None
 
-    @staticmethod
-    def _with_space(text: str) -> list[str]:
-        head, *rest = _OWN_SPACE.split(text) if _BLANK_SPACE.search(text) else text.split(" ")
-        return [head, *[" " + x for x in rest]]
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    @staticmethod
-    def _between_blanks(text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _word(self, blank: str, word: str) -> bytes:
-        """Ids of a word of letters, asked of the library's model itself, which takes a word's bytes as letters."""
-        text = blank + word if self.rule is Encoder._with_space else word.lower()
-        return np.array([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece; a word is encoded once for all the signs that may follow it."""
-        found: list[bytes | None] = [None] * len(pieces)
-        other: list[int] = []
-        for i, piece in enumerate(pieces):
-            simple = _SIMPLE.fullmatch(piece)
-            if simple is None:
-                other.append(i)
-                continue
-            blank, word, signs = simple.groups()
-            ids = self.kept.get(blank + word) if signs else None
-            ids = self._word(blank, word) if ids is None else ids
-            if signs:
-                if signs not in self.signs:
-                    self.signs[signs] = self._plain([signs])[0]
-                ids += self.signs[signs]
-            found[i] = ids
-        for i, ids in zip(other, self._plain([pieces[i] for i in other]), strict=True):
-            found[i] = ids
-        return found
+    def _ids(self, piece: str) -> bytes:
+        """Ids of a piece; a word of letters is asked of the library's model itself, which takes its bytes as letters."""
+        if not _WORD.fullmatch(piece):
+            return self._plain(piece)
+        text = piece if self.spaced else piece.lower()
+        if not piece.isascii():
+            text = text.encode().decode("latin-1")
+        found = self.model.tokenize(text.translate(self.letters) if text[0] == " " or not piece.isascii() else text)
+        return struct.pack(f"<{len(found)}{self.code}", *[t.id for t in found])
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, with the id `end` appended."""
         last = np.array([end], self.dtype).tobytes()
         if self.rule is None:
-            return [np.frombuffer(x + last, self.dtype) for x in self._plain(texts)]
-        split = [self.rule(x) for x in texts]
-        new = list(set().union(*split).difference(self.kept))
-        spare = self.kept.spare = {}
-        room = KEPT_PIECES - len(self.kept)
-        for at in range(0, len(new), 10_000):
-            for piece, ids in zip(new[at : at + 10_000], self._pieces(new[at : at + 10_000]), strict=True):
-                if room > 0 and len(piece) <= PIECE_CHARS:
-                    self.kept[piece] = ids
-                    room -= 1
-                else:
-                    spare[piece] = ids
-        get = self.kept.__getitem__
-        return [np.frombuffer(b"".join([*map(get, pieces), last]), self.dtype) for pieces in split]
+            return [np.frombuffer(self._plain(x) + last, self.dtype) for x in texts]
+        pieces, get = self.rule.findall, self.kept.__getitem__
+        found = []
+        for text in texts:
+            found.append(np.frombuffer(b"".join([*map(get, pieces(text)), last]), self.dtype))
+            self.kept.turn()
+        return found
 
 
 def encoder(path: str) -> Encoder:
