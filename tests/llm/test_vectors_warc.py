@@ -98,3 +98,28 @@ def test_warc(spark, least):
 def test_warc_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert rows_of(read_archives(rewrite_archives(resolve(write_archives(pages))))) == []
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 5e-324])
+def test_vectors_of_any_length(spark, scale):
+    """Squares of components may overflow or vanish."""
+    rows = [(1, [scale, scale], 0), (2, [2.0, 2.0], 0), (3, [1.0, -1.0], 0), (4, [3 * scale, 0.0], 0), (5, [0.5, 0.0], 0)]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4)]
+
+
+@pytest.mark.parametrize(("home", "repeated"), [(4096, False), (40, True)])
+def test_vectors_of_many_cells(spark, home, repeated, monkeypatch):
+    """Each label has cells of its own, several blocks a cell, ids that repeat under different labels."""
+    monkeypatch.setattr("premia.llm.vectors.ONE_CELL", 50)
+    monkeypatch.setattr("premia.llm.vectors.HOME_ROWS", home)
+    monkeypatch.setattr("premia.llm.vectors.BLOCK_ROWS", 32)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(300, 12))
+    rows = [(i, (base[i % 300] + rng.normal(size=12) * 0.12 * (i >= 300)).tolist(), int(i % 2)) for i in range(900)]
+    rows = [(i, rows[i][1], rows[i][2]) for i in range(900)] + ([(0, rows[1][1], 0)] if repeated else [])
+    found = near_vectors(spark.createDataFrame(rows, VECTORS).repartition(3)).collect()
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in found), key=str)
+    want = brute(rows)
+    assert sum(x[1] > 0 for x in want) > 400
+    assert got == want
