@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from premia.llm import bloom
-from premia.llm.shared import ascii_lower, materialize
+from premia.llm.shared import ascii_lower, materialize, whole_row
 
 
 def _digest(text: str) -> F.Column:
@@ -36,17 +36,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flagged = bloom.flag(hashes, F.col("digest"), segments, bits, "maybe")
     rest = flagged.filter("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
     found = flagged.filter("maybe").join(groups, "digest").select("id", "keep_id", "group_size", "digest")
-    return rest.unionByName(found).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("digest"))
+    kept = F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return rest.unionByName(found).select(F.col("id").alias(id_col), "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("digest"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 1 << 30) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat id and text, one stays.
+    """The rows of docs that stay, with all their columns; of rows that repeat id and text, any one stays.
 
-    Only rows that the filter lets through are shuffled with their texts.
+    Only rows that the filter lets through and that have the id that stays are shuffled with their texts. Nulls, repeated
+    rows and empty tables are as exact_groups has them.
     """
     _, segments, groups, bits = _judged(docs, id_col, text_col, most_bits)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    flagged = bloom.flag(docs.withColumn("__digest", F.unhex(_digest(text_col))), F.col("__digest"), segments, bits, "__maybe")
-    groups = groups.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    found = flagged.filter("__maybe").join(groups, "__digest").filter(F.col(f"`{id_col}`").eqNullSafe(F.col("__keep"))).dropDuplicates(["__digest", id_col])
-    return flagged.filter("not __maybe").select(*columns).unionByName(found.select(*columns))
+    rows = docs.select(whole_row(docs), F.col(f"`{id_col}`").alias("id"), F.unhex(_digest(text_col)).alias("digest"))
+    flagged = bloom.flag(rows, F.col("digest"), segments, bits, "maybe")
+    found = flagged.filter("maybe").join(groups, "digest").filter(F.col("id").eqNullSafe(F.col("keep_id")))
+    once = found.groupBy("digest").agg(F.first("row").alias("row"))
+    return flagged.filter("not maybe").select("row").unionByName(once.select("row")).select(*(F.col(f"row.`{c}`") for c in docs.columns))

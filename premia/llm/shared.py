@@ -61,6 +61,11 @@ def ready(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one, named row, so that none of their names clashes with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
 def ascii_lower(text: Column) -> Column:
     """text with A-Z, and no other letter, in lower case. Where all is ASCII, lower() is that and much faster."""
     folded = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
