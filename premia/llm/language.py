@@ -15,7 +15,7 @@ from premia.llm.shared import blocks, ready
 
 #: Bounds of the training sample: documents per language, characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 400
-#: Characters that are parsed in one go; a longer text's parts are parsed one by one and their phrases added.
+#: Characters of a part; the parts of a block of texts are parsed side by side, and then joined where a phrase spans them.
 PART = 512
 #: Codes of characters: letters that no sample has, anything but letters, what fills up a part, and letters of other
 #: languages' samples only.
@@ -120,8 +120,58 @@ class CrossParser:
         table[:, FILL] = np.arange(own + 1) * width * 2
         return table.ravel()
 
+    @staticmethod
+    def _step(table: np.ndarray | tuple, row: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Twice the next rows, plus 1 where a phrase ends before the character."""
+        if not isinstance(table, tuple):
+            return table[row + codes]
+        keys, states, begin = table
+        key = row * len(begin) + codes
+        at = np.searchsorted(keys, key).clip(max=len(keys) - 1)
+        return np.where(keys[at] == key, states[at], begin[codes] + (row != 0))
+
+    def _parse(self, table: np.ndarray | tuple, codes: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each part (a column of codes, longest first); before: the part that it goes on from, or -1.
+
+        Every part is parsed as if a phrase began with it. Then the phrase that was open at the end of the part before is
+        followed into it until a phrase begins where one did in the first parse; from there on both are the same.
+        """
+        live = np.searchsorted(-sizes, -np.arange(len(codes)), side="left")  # parts longer than each step
+        row = np.zeros(len(sizes), np.int64 if isinstance(table, tuple) else np.int32)
+        begins = np.zeros((len(codes), len(sizes)), bool)
+        begins[0] = True
+        for step, n in enumerate(live.tolist()):
+            to = self._step(table, row[:n], codes[step, :n])
+            begins[step, :n] |= (to & 1).astype(bool)
+            row[:n] = to >> 1
+        found = begins.sum(0)
+        lanes = np.flatnonzero(before >= 0)
+        upto = begins.cumsum(0, dtype=np.int32) if len(lanes) else None
+        after = np.full(len(sizes), -1)
+        after[before[lanes]] = lanes
+        fresh = row.copy()
+        while len(lanes):
+            own, met = row[before[lanes]], np.zeros(len(lanes), bool)
+            count = np.zeros(len(lanes), np.int64)
+            open_, step = np.arange(len(lanes)), 0
+            while len(open_ := open_[sizes[lanes[open_]] > step]):
+                to = self._step(table, own[open_], codes[step, lanes[open_]])
+                own[open_] = to >> 1
+                count[open_] += to & 1
+                meets = (to & 1).astype(bool) & begins[step, lanes[open_]]
+                count[open_[meets]] += upto[-1, lanes[open_[meets]]] - upto[step, lanes[open_[meets]]]
+                met[open_[meets]] = True
+                open_, step = open_[~meets], step + 1
+            found[lanes] = count
+            ends = np.where(met, fresh[lanes], own)  # where the parses met nowhere in the part, the next one follows from this
+            changed = ends != row[lanes]
+            row[lanes] = ends
+            lanes = after[lanes[changed]]
+            lanes = lanes[lanes >= 0]
+        return found
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases by text and language, whether a text has letters)."""
+        """(phrases by text and language, whether a text has letters). Each whole text is parsed from its first character."""
         parts, owner, lettered = [], [], np.zeros(len(texts), bool)
         for i, text in enumerate(texts):
             codes = self._codes(text)
@@ -135,24 +185,16 @@ class CrossParser:
         order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
         sizes = np.array([len(parts[k]) for k in order])
         matrix = np.full((int(sizes[0]), len(parts)), FILL, np.int32)
-        for column, k in enumerate(order):
-            matrix[: len(parts[k]), column] = parts[k]
-        live = np.searchsorted(-sizes, -np.arange(len(matrix)), side="left")  # parts longer than each step
+        column = np.empty(len(parts), np.int64)
+        for c, k in enumerate(order):
+            matrix[: len(parts[k]), c] = parts[k]
+            column[k] = c
+        before = np.full(len(parts), -1)
+        joined = np.flatnonzero(np.diff(owner) == 0) + 1
+        before[column[joined]] = column[joined - 1]
         owners = np.array(owner)[order]
         for j, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
-            codes = own[matrix]
-            row, ended = np.zeros(len(parts), np.int64 if isinstance(table, tuple) else np.int32), np.ones(len(parts), np.int64)
-            for step, n in enumerate(live.tolist()):
-                if isinstance(table, tuple):
-                    keys, states, begin = table
-                    key = row[:n] * len(begin) + codes[step, :n]
-                    at = np.searchsorted(keys, key).clip(max=len(keys) - 1)
-                    to = np.where(keys[at] == key, states[at], begin[codes[step, :n]] + (row[:n] != 0))
-                else:
-                    to = table[row[:n] + codes[step, :n]]
-                ended[:n] += to & 1
-                row[:n] = to >> 1
-            np.add.at(found[:, j], owners, ended)
+            np.add.at(found[:, j], owners, self._parse(table, own[matrix], sizes, before))
         return found, lettered
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -176,7 +218,8 @@ def sample(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str
     text = F.col(f"`{text_col}`")
     order = F.xxhash64(text)
     start = F.pmod(F.xxhash64(text, F.lit("start")), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
-    labelled = docs.filter(train & F.col(f"`{lang_col}`").isNotNull() & (F.length(text) > 0)).select(F.col(f"`{lang_col}`").alias("lang"), order.alias("order"), F.substring(text, start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    named = [F.col(f"`{lang_col}`").alias("lang"), order.alias("order"), F.substring(text, start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")]
+    labelled = docs.filter(train & F.col(f"`{lang_col}`").isNotNull() & (F.length(text) > 0)).select(*named)
     slot = F.pmod("order", F.lit(SAMPLE_DOCS)).alias("slot")
     chosen = {(r.lang, r.first) for r in labelled.groupBy("lang", slot).agg(F.min("order").alias("first")).collect()}
     texts: dict[str, dict[int, str]] = {}
@@ -192,7 +235,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
     Each whole text is parsed, once per language, into the longest phrases that occur in that language's sample;
     the language whose phrases take the fewest bits wins, ties by its name. Null texts and texts without a letter
     are `und` with score 0, and so is everything without samples. Only the text decides; repeated rows get equal
-    answers; an empty table gives an empty one.
+    answers; an empty table gives an empty one. Columns of docs that are named lang_pred or score are replaced.
     """
     ready(docs.sparkSession)
     schema = docs.drop("lang_pred", "score").schema

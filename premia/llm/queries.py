@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), 4) == 2, F.lit(False))
     found = identify(docs.select("doc_id", "text"), sample(docs, ~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -38,7 +38,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = bucket_of(F.col("doc_id"), 5) == 0
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(False))
     lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels"), ~held_out)
     found = toxicity.score(docs, lexicon)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

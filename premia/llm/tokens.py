@@ -92,7 +92,8 @@ class Encoder:
         if not steps or steps[-1].get("type") != "ByteLevel" or steps[-1].get("use_regex"):
             return None
         replaced = [n for n in norm.get("normalizers", []) if n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"}]
-        if steps and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and replaced and {n["type"] for n in norm["normalizers"]} <= {"NFC", "Replace", "Lowercase"}:
+        split = steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+        if split and replaced and {n["type"] for n in norm["normalizers"]} <= {"NFC", "Replace", "Lowercase"}:
             return _BETWEEN_BLANKS
         return None
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -82,7 +83,10 @@ class Lexicon:
                 spared.append((at, end))
             elif weight > found.get(at, 0.0):
                 found[at] = weight
-        return sum(w for at, w in found.items() if not any(a <= at < b for a, b in spared)), words
+        # the furthest end of the phrases that begin at or before a place covers it, or none does
+        spared.sort()
+        begins, ends = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        return sum(w for at, w in found.items() if not (k := bisect_right(begins, at)) or ends[k - 1] <= at), words
 
     def around(self, folded: str) -> set[str]:
         """What an exception may be: each word with an entry and the sequences of at most SPAN words that hold it."""
@@ -186,9 +190,11 @@ def learn(docs: DataFrame, labels: DataFrame, train: F.Column) -> Lexicon:
     plain = Lexicon(bare.entries, tuple(sorted(spared)))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [plain.sums(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([round(w, 1) for w, _ in found], pa.float64()), pa.array([round(2 * math.log2(max(n, 1))) for _, n in found], pa.int32())], names=["toxic", "weight", "words"])
+        for block in (b for batch in batches for b in blocks(batch, "text")):
+            found = [plain.sums(x) for x in block.column("text").to_pylist()]
+            weights = pa.array([round(w, 1) for w, _ in found], pa.float64())
+            words = pa.array([round(2 * math.log2(max(n, 1))) for _, n in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([block.column("toxic"), weights, words], names=["toxic", "weight", "words"])
 
     binned = texts.mapInArrow(sums, "toxic int, weight double, words int").groupBy("toxic", "weight", "words").agg(F.count("*").alias("n"))
     table = [(r.toxic, r.weight, 2 ** (r.words / 2), r.n * stands[r.toxic]) for r in binned.collect()]
@@ -206,8 +212,9 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([lexicon.score(x or "") for x in batch.column("text").to_pylist()], pa.float64())], names=["id", "score"])
+        for block in (b for batch in batches for b in blocks(batch, "text")):
+            scores = pa.array([lexicon.score(x or "") for x in block.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([block.column("id"), scores], names=["id", "score"])
 
     kept = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)

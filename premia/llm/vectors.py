@@ -55,7 +55,9 @@ def homes_of(units: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nda
     return dots.argmax(1), dots
 
 
-def visits_of(home: np.ndarray, dots: np.ndarray, centers: np.ndarray, least: np.ndarray, cosine: float, slack: float = 1e-6) -> list[np.ndarray]:
+def visits_of(
+    home: np.ndarray, dots: np.ndarray, centers: np.ndarray, least: np.ndarray, cosine: float, slack: float = 1e-6
+) -> list[np.ndarray]:
     """For each row the later cells in which a vector with that cosine or more to it may be at home.
 
     least: the smallest cosine of a cell's own rows to its centroid. Two bounds hold for a linked y at home in c:
@@ -76,7 +78,9 @@ def visits_of(home: np.ndarray, dots: np.ndarray, centers: np.ndarray, least: np
     return [np.flatnonzero(row) for row in may]
 
 
-def compare(home: np.ndarray, others: np.ndarray, home_weight: np.ndarray, weight: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def compare(
+    home: np.ndarray, others: np.ndarray, home_weight: np.ndarray, weight: np.ndarray, cosine: float
+) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """(linked weight of each home row, of each other row, a forest that joins what is linked).
 
     Home rows are compared with each other, themselves included, and with the others; the others aren't compared among
@@ -95,7 +99,8 @@ def compare(home: np.ndarray, others: np.ndarray, home_weight: np.ndarray, weigh
     forest = []
     for h in range(0, len(home), BLOCK_ROWS):
         end = min(h + BLOCK_ROWS, len(home))
-        for start, stop in [*((a, min(a + BLOCK_ROWS, len(home))) for a in range(h, len(home), BLOCK_ROWS)), *((a, a + BLOCK_ROWS) for a in range(len(home), len(rows), BLOCK_ROWS))]:
+        own = [(a, min(a + BLOCK_ROWS, len(home))) for a in range(h, len(home), BLOCK_ROWS)]
+        for start, stop in [*own, *((a, a + BLOCK_ROWS) for a in range(len(home), len(rows), BLOCK_ROWS))]:
             linked = rows[h:end] @ rows[start:stop].T >= cosine
             found[h:end] += linked @ weights[start:stop]
             if start != h:
@@ -220,7 +225,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     parts = parts.join(least, "component").select("node", "component_id")
     judged = nodes.select("key", "node", "rep", "weight").join(counts, "node", "left").join(parts, "node", "left")
     # a node is linked to itself, so that its own rows but one count
-    judged = materialize(judged.select("key", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", "weight") - 1).alias("n_links")), "judged")
+    links = (F.coalesce("links", "weight") - 1).alias("n_links")
+    judged = materialize(judged.select("key", F.coalesce("component_id", "rep").alias("component_id"), links), "judged")
     out = rows.select("id", "key").join(judged, "key", "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    out = out.select(F.col("id").alias(id_col), links, F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
