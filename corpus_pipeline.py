@@ -9,17 +9,28 @@ from pyspark.sql import functions as F
 
 from premia.llm.exact import exact_dedup
 from premia.llm.language import UNDETERMINED, identify, sample
-from premia.llm.minhash import near_groups
+from premia.llm.minhash import near_dedup
 from premia.llm.mixing import mix, repeat
 from premia.llm.packing import pack
-from premia.llm.shared import materialize
+from premia.llm.shared import materialize, whole_row
 from premia.llm.tokens import public_path
 
 
+#: Languages that stay; None: all that can be learned from the labelled documents.
+LANGUAGES: frozenset[str] | None = None
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a language (null, or not a letter) go."""
-    found = identify(docs, sample(docs, F.lit(True)))
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    """Language ID: documents without a language (null, or not a letter) go, and those outside LANGUAGES.
+
+    Documents that stay without a label get the language that was found as their lang.
+    """
+    texts = docs.select(whole_row(docs), "text")
+    found = identify(texts, sample(docs, F.lit(True)))
+    known = F.col("lang_pred") != UNDETERMINED
+    kept = found.filter(known if LANGUAGES is None else known & F.col("lang_pred").isin(*LANGUAGES))
+    columns = [F.col(f"row.`{c}`") if c != "lang" else F.coalesce("row.lang", "lang_pred").alias("lang") for c in docs.columns]
+    return kept.select(*columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +40,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of documents linked at 0.85 or more, the one with the smallest doc_id stays."""
-    dropped = near_groups(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
