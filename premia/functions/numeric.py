@@ -22,12 +22,6 @@ def clip(value: Column, low: Column | float, high: Column | float) -> Column:
     return F.least(F.greatest(value, low), high)
 
 
-def higher_quantile(value: str | Column, q: float) -> Column:
-    """Aggregate: the smallest value with at least q of the gaps between sorted values below it (0-based ceil(q * (n - 1)))."""
-    held = F.sort_array(F.collect_list(value))
-    return F.element_at(held, F.ceil(F.lit(q) * (F.size(held) - 1)).cast("int") + 1)
-
-
 def uniform(*parts: Column | str | int) -> Column:
     """A number in [0, 1) that depends only on the parts: 32 bits of the MD5 of the parts joined by colons."""
     joined = F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))

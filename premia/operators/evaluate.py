@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from premia.functions.numeric import clip, higher_quantile, rounded, uniform
+from premia.functions.numeric import clip, rounded, uniform
 
 # The risk slices.
 SLICES = {
@@ -24,19 +26,25 @@ def point_metrics(rows: DataFrame, *keys: str, actual: str = "premium", predicte
 
     Groups are few (splits, slices, batches): one row for each is broadcast.
     """
-    y, p = F.col(actual), F.col(predicted)
+    y, p, e = F.col(actual), F.col(predicted), F.col("e")
     error = rows.select(*keys, y.alias("y"), F.abs(y - p).alias("e"))
-    means = error.groupBy(*keys).agg(F.avg("y").alias("mean_y"))
-    with_mean = error.join(F.broadcast(means), list(keys)) if keys else error.crossJoin(F.broadcast(means))
-    sums = with_mean.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("e").alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
-        (F.sum("e") / F.nullif(F.sum(F.abs("y")), F.lit(0.0))).alias("wape"),
-        (F.lit(1.0) - F.sum(F.col("e") * F.col("e")) / F.nullif(F.sum((F.col("y") - F.col("mean_y")) * (F.col("y") - F.col("mean_y"))), F.lit(0.0))).alias("r2"),
-        F.max("e").alias("max_error"),
+    spread = F.var_pop("y") * F.count("*")  # the squares about the mean, merged from partitions without loss
+    stats = error.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("e").alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+        (F.sum("e") / F.nullif(F.sum(F.abs("y")), F.lit(0.0))).alias("wape"), (F.lit(1.0) - F.sum(e * e) / F.nullif(spread, F.lit(0.0))).alias("r2"),
+        F.max("e").alias("max_error"), F.expr("percentile(e, 0.95D)").alias("at"),
     )
-    tail = quantile_higher(error, "e", 0.95, *keys).withColumnRenamed("value", "p95_error")
-    joined = sums.join(tail, list(keys)) if keys else sums.crossJoin(tail)
-    return joined.select(*keys, F.col("n").cast("long").alias("n"), *(rounded(F.col(c), 4).alias(c) for c in ("mae", "rmse")), *(rounded(F.col(c)).alias(c) for c in ("wape", "r2")), *(rounded(F.col(c), 4).alias(c) for c in ("p95_error", "max_error")))
+    # the second pass finds the least error not below the exact percentile, and carries the rest along
+    both = error.select(*keys, "e").join(F.broadcast(stats), list(keys)) if keys else error.select("e").crossJoin(F.broadcast(stats))
+    carried = [F.first(c).alias(c) for c in ("n", "mae", "rmse", "wape", "r2", "max_error")]
+    found = both.filter(_not_below("e")).groupBy(*keys).agg(F.min("e").alias("p95_error"), *carried)
+    places = {"mae": 4, "rmse": 4, "wape": 6, "r2": 6, "p95_error": 4, "max_error": 4}
+    return found.select(*keys, F.col("n").cast("long").alias("n"), *(rounded(F.col(c), k).alias(c) for c, k in places.items()))
+
+
+def _not_below(value: str) -> Column:
+    """Whether value isn't below `at`, the exact percentile, which lies between the two elements around q * (n - 1)."""
+    return F.col(value) >= F.col("at") - F.abs(F.col("at")) * 1e-12
 
 
 def quantile_higher(rows: DataFrame, value: str, q: float, *keys: str) -> DataFrame:
@@ -44,11 +52,26 @@ def quantile_higher(rows: DataFrame, value: str, q: float, *keys: str) -> DataFr
 
     Spark's exact percentile merges partial counts of distinct values; of each group one row is broadcast.
     """
-    at = F.expr(f"percentile(`{value}`, {q!r}D)")
-    # the exact percentile lies between the two elements around q * (n - 1); the higher one is the least value not below it
-    bound = rows.groupBy(*keys).agg(at.alias("at"))
+    bound = rows.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, {q!r}D)").alias("at"))
     both = rows.join(F.broadcast(bound), list(keys)) if keys else rows.crossJoin(F.broadcast(bound))
-    return both.filter(F.col(value) >= F.col("at") - F.abs(F.col("at")) * 1e-12).groupBy(*keys).agg(F.min(value).alias("value"))
+    return both.filter(_not_below(value)).groupBy(*keys).agg(F.min(value).alias("value"))
+
+
+def nth_smallest(rows: DataFrame, value: str, rank: Callable[[Column], Column]) -> DataFrame:
+    """n, rank and value: of n rows with a value of 0 or more, the one of rank(n), from 1, exactly, for any number of rows.
+
+    Rows are counted in narrow buckets of the value's logarithm; only the bucket that holds the rank is looked into, by
+    its distinct values. What one task orders are the counts of buckets, at most some 500,000, and those values.
+    """
+    bucket = F.floor(F.log2(F.greatest(F.col(value), F.lit(1e-300))) * 256).alias("bucket")
+    held = rows.select(F.col(value).alias("value"), bucket)
+    counts = held.groupBy("bucket").agg(F.count("*").alias("own"))
+    upto = F.sum("own").over(Window.orderBy("bucket"))
+    placed = counts.select("bucket", (upto - F.col("own")).alias("before"), upto.alias("upto"), F.sum("own").over(Window.partitionBy()).alias("n"))
+    placed = placed.withColumn("rank", rank(F.col("n")).cast("long")).filter("before < rank and rank <= upto")
+    inside = held.join(F.broadcast(placed), "bucket").groupBy("value").agg(F.count("*").alias("own"), *(F.first(c).alias(c) for c in ("n", "rank", "before")))
+    inside = inside.withColumn("upto", F.col("before") + F.sum("own").over(Window.orderBy("value")))
+    return inside.filter("rank <= upto").groupBy("n", "rank").agg(F.min("value").alias("value"))
 
 
 def by_slice(rows: DataFrame) -> DataFrame:
@@ -67,9 +90,8 @@ def slice_report(rows: DataFrame) -> DataFrame:
 def conformal_radius(rows: DataFrame, coverage: float, actual: str = "premium", predicted: str = "predicted") -> DataFrame:
     """n, conformal_rank, radius: the error of rank min(n, ceil((n + 1) * coverage)) among the sorted ones."""
     errors = rows.select(F.abs(F.col(actual) - F.col(predicted)).alias("e"))
-    held = errors.agg(F.count("*").alias("n"), F.sort_array(F.collect_list("e")).alias("sorted"))
-    rank = F.least(F.col("n"), F.ceil((F.col("n") + 1).cast("double") * F.lit(float(coverage))))
-    return held.filter("n > 0").select("n", rank.cast("long").alias("conformal_rank"), F.element_at("sorted", rank.cast("int")).alias("radius"))
+    found = nth_smallest(errors, "e", lambda n: F.least(n, F.ceil((n + 1).cast("double") * F.lit(float(coverage)))))
+    return found.select("n", F.col("rank").alias("conformal_rank"), F.col("value").alias("radius"))
 
 
 def conformal_bounds(rows: DataFrame, radius: Column, predicted: str = "predicted") -> DataFrame:
@@ -80,7 +102,13 @@ def interval_report(rows: DataFrame, actual: str = "premium") -> DataFrame:
     """n, coverage (bounds included), mean_width, median_width, p95_width (higher)."""
     y, width = F.col(actual), F.col("upper") - F.col("lower")
     inside = ((y >= F.col("lower")) & (y <= F.col("upper"))).cast("double")
-    return rows.agg(F.count("*").alias("n"), rounded(F.avg(inside)).alias("coverage"), rounded(F.avg(width), 4).alias("mean_width"), rounded(F.median(width), 4).alias("median_width"), rounded(higher_quantile(width, 0.95), 4).alias("p95_width"))
+    widths = rows.select(width.alias("width"), inside.alias("inside"))
+    middle, at = F.median("width").alias("median_width"), F.expr("percentile(width, 0.95D)").alias("at")
+    stats = widths.agg(F.count("*").alias("n"), F.avg("inside").alias("coverage"), F.avg("width").alias("mean_width"), middle, at)
+    tail = widths.select("width").crossJoin(F.broadcast(stats)).filter(_not_below("width"))
+    found = tail.agg(*(F.first(c).alias(c) for c in ("n", "coverage", "mean_width", "median_width")), F.min("width").alias("p95_width"))
+    places = {"coverage": 6, "mean_width": 4, "median_width": 4, "p95_width": 4}
+    return found.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), *(rounded(F.col(c), k).alias(c) for c, k in places.items()))
 
 
 def bootstrap(errors: DataFrame, n: int, replicates: int, confidence: float, seed: int) -> DataFrame:
