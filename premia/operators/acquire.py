@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -29,34 +29,43 @@ POLICIES = {
 }
 BOOSTS, MOST_BOOSTS = (1.1, 1.25), 3
 DIMS = 23
+#: Differences that a block of nearest() holds.
+BLOCK_CELLS = 1 << 20
+#: What gives one finite score, the larger the better, for each candidate: a column of the scores' table.
+AcquisitionScore = Callable[[DataFrame], Column]
 
 
 def with_vector(rows: DataFrame) -> DataFrame:
     return rows.select("*", *scaled_one_hot())
 
 
-def nearest(candidates: DataFrame, anchors: DataFrame, anchor_id: str, *carried: str, most: int = 1000) -> DataFrame:
+def nearest(candidates: DataFrame, anchors: DataFrame, anchor_id: str, *carried: str, most: int = 20_000) -> DataFrame:
     """quote_id of each candidate with the distance to its nearest anchor, that anchor's id and carried columns.
 
     Both sides have vectors (with_vector). Anchors are the rows of a split or of the mapping so far, whose budgets the
-    configuration bounds: more than `most` raise an error, and those that there are go to every task. Ties go to the
-    smaller id. Candidates are compared block by block and aren't shuffled.
+    configuration bounds and a run passes as `most`; more raise an error, and those that there are go to every task. Ties
+    go to the smaller id. Candidates are compared block by block, in blocks that hold BLOCK_CELLS distances, and aren't
+    shuffled.
     """
     names = [f"v{i:02d}" for i in range(DIMS)]
     held = anchors.select(anchor_id, *names, *carried).limit(most + 1).toPandas().sort_values(anchor_id, ignore_index=True)
     if len(held) > most:
         raise ValueError(f"more than {most} anchors; raise `most` if executors can hold them")
     points = held[names].to_numpy()
+    ids, more = held[anchor_id].to_numpy(), {c: held[c].to_numpy() for c in carried}
+    rows = max(1, BLOCK_CELLS // max(1, points.size))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch) if len(points) else 0, 512):
-                part = batch.iloc[at : at + 512]
+            for at in range(0, len(batch) if len(points) else 0, rows):
+                part = batch.iloc[at : at + rows]
                 gaps = np.sqrt(((part[names].to_numpy()[:, None, :] - points[None, :, :]) ** 2).sum(2))
                 best = gaps.argmin(1)
-                yield pd.DataFrame({"quote_id": part["quote_id"].to_numpy(), "distance": gaps[np.arange(len(part)), best], "anchor_id": held[anchor_id].to_numpy()[best]} | {c: held[c].to_numpy()[best] for c in carried})
+                found = {"quote_id": part["quote_id"].to_numpy(), "distance": gaps[np.arange(len(part)), best], "anchor_id": ids[best]}
+                yield pd.DataFrame(found | {c: v[best] for c, v in more.items()})
 
-    return candidates.select("quote_id", *names).mapInPandas(search, f"quote_id long, distance double, anchor_id long{''.join(f', {c} double' for c in carried)}")
+    kinds = "".join(f", {c} double" for c in carried)
+    return candidates.select("quote_id", *names).mapInPandas(search, f"quote_id long, distance double, anchor_id long{kinds}")
 
 
 def breakpoint_score() -> Column:
@@ -70,10 +79,18 @@ def breakpoint_score() -> Column:
     return total
 
 
-def combined(scores: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
-    """scores (quote_id and a column for each weight) scaled, weighted and scaled again: quote_id, score."""
+def combined(scores: DataFrame, weights: Mapping[str, float] = WEIGHTS, components: Mapping[str, AcquisitionScore] | None = None) -> DataFrame:
+    """scores (quote_id and a column for each weight) scaled, weighted and scaled again: quote_id, score.
+
+    components: scores of one's own by name, each a function of the table that gives a Column; a weight without a column
+    or a component raises. The table, a candidate pool, is kept while it is asked for its bounds and then its rows.
+    """
+    own = dict(components or {})
+    if missing := sorted(set(weights) - set(scores.columns) - set(own)):
+        raise ValueError(f"no score for the weights of {', '.join(missing)}")
     whole = sum(weights.values())
-    scaled = normalized(scores, *weights)
+    held = scores.withColumns({n: f(scores).cast("double") for n, f in own.items() if n in weights}).select("quote_id", *weights).persist()
+    scaled = normalized(held, *weights)
     total = F.lit(0.0)
     for name, w in weights.items():
         total = total + F.col(name) * (w / whole)

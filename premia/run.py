@@ -6,6 +6,7 @@ import dataclasses
 import hashlib
 import json
 import secrets
+import shutil
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
@@ -29,6 +30,8 @@ from premia.provider import Quote, quote, resolve
 from premia.schema import FIELD_ORDER
 
 HOLDOUTS = ("validation", "calibration", "audit")
+#: How often rows are drawn, each time twice as many, before a domain counts as used up.
+ATTEMPTS = 6
 
 
 def default_run_id() -> str:
@@ -73,13 +76,17 @@ class MappingRun:
         journal.register(rows.select((F.col("position") + first).alias("id"), split.alias("split"), F.lit(batch).cast("long").alias("batch_id"), "position", encode.row_key().alias("row_key"), F.lit(source).alias("source"), *FIELD_ORDER))
 
     def _fresh(self, journal: Journal, n: int, stream: int, batch: int, lhs: bool, more_used: DataFrame | None = None) -> DataFrame:
-        """position and fields of n new rows; twice as many are made, which is enough unless the domain is tiny."""
+        """position and fields of n new rows; twice as many are made, and more up to ATTEMPTS times if the domain is tiny."""
         make = sample.lhs_rows if lhs else sample.uniform_rows
         used = journal.table("samples").select("row_key")
         used = used if more_used is None else used.unionByName(more_used.select("row_key"))
-        rows = sample.unique_rows(make(self.spark, 2 * n + 10, self.seed, stream, batch, self.domain), used, n).toPandas()
-        if len(rows) < n:
-            raise ValueError(f"the domain has fewer than {n} new rows")
+        for attempt in range(ATTEMPTS):
+            made = make(self.spark, (2 * n + 10) << attempt, self.seed, stream, batch, self.domain)
+            rows = sample.unique_rows(made, used, n).toPandas()
+            if len(rows) == n:
+                break
+        else:
+            raise ValueError(f"fewer than {n} new rows in {(2 * n + 10) << (ATTEMPTS - 1)} draws")
         rows["position"] = range(n)
         return self.spark.createDataFrame(rows[["position", *FIELD_ORDER]])
 
@@ -94,6 +101,10 @@ class MappingRun:
             split = F.when(F.col("position") < end, name).otherwise(split)
         self._register(journal, rows, split, None, "holdout")
 
+    def _most(self) -> int:
+        """Rows that any split of the run may have."""
+        return max(self.config.sampling.mapping_budget, self.config.evaluation.budget, 1)
+
     def _seed(self, journal: Journal, rows: DataFrame) -> None:
         held = rows.toPandas()
         held["position"] = range(len(held))
@@ -107,14 +118,18 @@ class MappingRun:
         if pending.head() is None:
             return
         limits = self.config.provider
-        found = quote(pending.select("id", *FIELD_ORDER), self.provider, limits.retries, limits.first_pause, limits.most_pause).persist()
+        answers = self.folder / f"answers-{secrets.token_hex(4)}"
+        asked = quote(pending.select("id", *FIELD_ORDER), self.provider, limits.retries, limits.first_pause, limits.most_pause)
+        asked.write.parquet(answers.resolve().as_uri())  # once; what follows reads the answers, and no lost executor asks again
         try:
+            found = self.spark.read.schema(asked.schema).parquet(answers.resolve().as_uri())
             journal.append("attempts", found.select("row_key", F.explode("attempts").alias("a")).select("row_key", "a.*"))
-            journal.append("quotes", found.filter("premium IS NOT NULL").select(F.lit(self.provider.identity).alias("provider_identity"), "row_key", "premium"))
+            good = found.filter("premium IS NOT NULL")
+            journal.append("quotes", good.select(F.lit(self.provider.identity).alias("provider_identity"), "row_key", "premium"))
             if failed := found.filter("error IS NOT NULL").orderBy("id").select("row_key", "error").head():
                 raise ProviderRejected(f"row {failed.row_key[:12]}: {failed.error}")
         finally:
-            found.unpersist()
+            shutil.rmtree(answers, ignore_errors=True)
 
     def _map(self, journal: Journal) -> None:
         sampling = self.config.sampling
@@ -137,20 +152,21 @@ class MappingRun:
         pool = sample.unique_rows(pool, journal.table("samples"), self.config.sampling.pool_size).withColumnRenamed("i", "quote_id").select("quote_id", *FIELD_ORDER)
         pool = self.spark.createDataFrame(pool.toPandas())  # a pool has the size that the configuration names
         done, held = journal.samples().filter("split = 'mapping'"), journal.samples().filter("split = 'validation'")
-        x, y = search.matrices(done)
+        x, y = search.matrices(done, self._most())
         if strategy == "active":
             members = search.committee(self.spark, (x, y), self.seed, self.config.model.committee, self.config.model.committee_trees)
             spread, anchors = search.spread(pool, members), search.spread(held, members, "id")
         else:
-            spread, anchors = search.gp_spread(pool, done), search.gp_spread(held, done, "id")
+            spread, anchors = (search.gp_spread(rows, done, key, self._most()) for rows, key in ((pool, "quote_id"), (held, "id")))
         residual = held.join(anchors.select("id", "mean"), "id").withColumn("residual", F.abs(F.col("premium") - F.col("mean"))).withColumnRenamed("id", "quote_id")
         wide = acquire.with_vector(pool)
-        near = acquire.nearest(wide, acquire.with_vector(residual), "quote_id", "residual").select("quote_id", "residual")
+        bounds = self._most()
+        near = acquire.nearest(wide, acquire.with_vector(residual), "quote_id", "residual", most=bounds).select("quote_id", "residual")
         scores = pool.join(spread.select("quote_id", "uncertainty"), "quote_id").join(near, "quote_id")
         policy = None
         if strategy == "active":
             a = self.config.sampling.acquisition
-            far = acquire.nearest(wide, acquire.with_vector(done), "id").select("quote_id", F.col("distance").alias("diversity"))
+            far = acquire.nearest(wide, acquire.with_vector(done), "id", most=bounds).select("quote_id", F.col("distance").alias("diversity"))
             weights = {k: getattr(a, k) for k in ("uncertainty", "residual", "breakpoint", "diversity")}
             scored = acquire.combined(scores.join(far, "quote_id").withColumn("breakpoint", acquire.breakpoint_score()), weights)
             focused, spread_weight = acquire.focused_count(count, a.focused_fraction), a.greedy_spread
@@ -170,7 +186,7 @@ class MappingRun:
     def _advice(self, journal: Journal, scores: DataFrame, residual: DataFrame, batch: int) -> tuple[str, dict[str, float]]:
         bins = self.spark.createDataFrame([(b,) for b in encode.bin_catalogue(self.domain)], "bin_id string")
         table = acquire.diagnostic_bins(evaluate.normalized(scores, "uncertainty"), evaluate.normalized(residual, "residual"), bins)
-        history = journal.batches().select(F.col("batch_id").alias("idx"), "mae", "policy")
+        history = journal.batches().filter("mae IS NOT NULL").select(F.col("batch_id").alias("idx"), "mae", "policy")
         summary = {"bins": [r.asDict() for r in table.orderBy("bin_id").collect()], "validation_mae_trend": [r.mae for r in steps.mae_trend(history).orderBy("idx").collect()], "uncertainty": evaluate.distribution(scores, "uncertainty").first().asDict()}
         return self.advisor.advise(summary, set(encode.bin_catalogue(self.domain)), derived_seed(self.seed, batch))
 
@@ -182,7 +198,15 @@ class MappingRun:
         if not todo:
             return
         held = rows.filter("split = 'mapping'").select("id", "batch_id", "source", "premium", *encode.ordinal(self.domain)).toPandas().sort_values("id")
-        vx, vy = search.matrices(rows.filter("split = 'validation'").orderBy("id"))
+        least = min(self.config.sampling.initial_size, self.config.sampling.mapping_budget)
+        if deferred := [b for b in todo if (held["batch_id"] <= b).sum() < least]:
+            # too few rows so far for a model: the batch is done without a MAE, and no step of early stopping sees it
+            blank = [(int(b), 1, "evaluated", None, None, None, None) for b in deferred]
+            journal.append("batches", self.spark.createDataFrame(blank, BATCHES))
+            todo = [b for b in todo if b not in deferred]
+        if not todo:
+            return
+        vx, vy = search.matrices(rows.filter("split = 'validation'").orderBy("id"), self._most())
         seed, stop, boot = self.seed, self.config.early_stopping, self.config.evaluation.bootstrap
 
         def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
@@ -201,14 +225,14 @@ class MappingRun:
 
     def _stopped(self, journal: Journal) -> bool:
         stop = self.config.early_stopping
-        found = evaluate.early_stop(journal.batches().select(F.col("batch_id").alias("idx"), "mae", "lower", "upper"), stop.patience, stop.least_batches, stop.least_gain).first()
+        found = evaluate.early_stop(journal.batches().filter("mae IS NOT NULL").select(F.col("batch_id").alias("idx"), "mae", "lower", "upper"), stop.patience, stop.least_batches, stop.least_gain).first()
         return bool(found and found.should_stop)
 
     def _finish(self, journal: Journal) -> Result:
         """Chooses, refits, calibrates and audits a model; validation rows guide, calibration rows set the radius, audit rows report."""
         settings, judged = self.config.model, self.config.evaluation
         rows = journal.samples()
-        train, held = (search.matrices(rows.filter(F.col("split") == s).orderBy("id")) for s in ("mapping", "validation"))
+        train, held = (search.matrices(rows.filter(F.col("split") == s).orderBy("id"), self._most()) for s in ("mapping", "validation"))
         specs = search.candidates(settings.search_iterations, self.seed, settings.boosting, settings.extra_trees)
         found = search.search(self.spark, specs, train, held, settings.latency_repetitions).drop("model").collect()
         best = search.choose(found, settings.latency_ceiling_ms)
