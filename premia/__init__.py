@@ -1,3 +1,22 @@
 """A PySpark-native engine that learns, evaluates and serves a surrogate of a quote function."""
 
+from premia.advisor import PolicyAdvisor
+from premia.config import Acquisition, Advisor, Artifact, Config, EarlyStopping, Evaluation, Model, ProviderSettings, Sampling, load_config
+from premia.engine import Prediction, PricingEngine
+from premia.errors import (
+    AdvisorError, ArtifactError, ConfigError, DomainValidationError, JournalError, LegacyArtifactError, ModelSelectionError, PremiaError,
+    ProviderError, ProviderRejected, ProviderUnavailable, RunLocked, SourceError,
+)
+from premia.operators.acquire import AcquisitionScore
+from premia.provider import Provider, quote
+from premia.run import MappingRun, Result
+from premia.schema import Domain
+
+__all__ = [
+    "Acquisition", "AcquisitionScore", "Advisor", "AdvisorError", "Artifact", "ArtifactError", "Config", "ConfigError", "Domain",
+    "DomainValidationError", "EarlyStopping", "Evaluation", "JournalError", "LegacyArtifactError", "MappingRun", "Model",
+    "ModelSelectionError", "PolicyAdvisor", "Prediction", "PremiaError", "PricingEngine", "Provider", "ProviderError", "ProviderRejected",
+    "ProviderSettings", "ProviderUnavailable", "Result", "RunLocked", "Sampling", "SourceError", "load_config", "quote",
+]
+
 __version__ = "0.1.0"

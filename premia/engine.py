@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premia.artifact import Components, validate
-from premia.errors import DomainValidationError
+from premia.errors import ArtifactError, DomainValidationError
 from premia.models.search import score
 from premia.operators.evaluate import conformal_bounds
 from premia.operators.validate import require_valid
 from premia.schema import CATEGORICAL, FIELD_ORDER, INTEGER, LICENCE_AGE, Domain
 
 
+@dataclass(frozen=True)
+class Prediction:
+    """A premium and its interval."""
+
+    premium: float
+    lower: float
+    upper: float
+    model_version: str
+    warnings: tuple[str, ...] = ()
+
+
 class PricingEngine:
+    """An artifact's model; radius and version must be sound."""
+
     def __init__(self, components: Components) -> None:
         self.parts = components
         self.radius, self.version = float(components.conformal["radius"]), str(components.metadata["model_version"])
         self.warnings = list(components.metadata["warnings"])
+        if not math.isfinite(self.radius) or self.radius < 0 or not self.version.strip():
+            raise ArtifactError("the interval's radius must be finite and not negative, and the model must have a version")
 
     @classmethod
     def load(cls, path: str | Path, spark: SparkSession | None = None) -> PricingEngine:
@@ -40,6 +58,14 @@ class PricingEngine:
         premium = self.parts.model.predict_one(codes)
         return {"premium": premium, "lower": max(0.0, premium - self.radius), "upper": premium + self.radius, "model_version": self.version, "warnings": self.warnings}
 
+    def predict_batch(self, rows: Sequence[Mapping[str, Any]]) -> list[Prediction]:
+        """Rows on the driver, in their order; any invalid row stops all. Tables go through predict()."""
+        return [Prediction(**{**self.predict_row(row), "warnings": tuple(self.warnings)}) for row in rows]
+
+    def predict_premiums(self, rows: Sequence[Mapping[str, Any]]) -> np.ndarray:
+        """The premiums of predict_batch alone."""
+        return np.array([p.premium for p in self.predict_batch(rows)], float)
+
     def info(self) -> dict[str, Any]:
         return {"model_version": self.version, "kind": self.parts.model.kind, "conformal": self.parts.conformal, "warnings": self.warnings, "fields": list(FIELD_ORDER)}
 
