@@ -92,10 +92,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 
+#: The letters of base32, five bits each; DuckDB gives SHA-1 in hexadecimal, of which five digits make four letters.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_DIGEST = " || ".join(
+    f"substr('{_BASE32}', CAST((('0x' || substr(hex, {5 * k + 1}, 5))::BIGINT >> {5 * (3 - j)}) & 31 AS INTEGER) + 1, 1)" for k in range(8) for j in range(4)
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
         WITH h AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, text_sha256 FROM h)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    "op4_vectors": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach(u, w) AS (SELECT u, w FROM links UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u),
+        least AS (SELECT u, min(w) AS w FROM reach GROUP BY u),
+        counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(w, vec_id)) AS component_id, vec_id <= coalesce(w, vec_id) AS kept
+        FROM embeddings LEFT JOIN least ON least.u = vec_id LEFT JOIN counts ON counts.u = vec_id
+    """,
+    "op7_warc": f"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS response FROM p)
+        SELECT page_id, payload_bytes, {_DIGEST} AS payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> response THEN response END AS refers_to FROM g
+    """,
 }
