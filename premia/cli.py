@@ -45,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
     command(predict, "row", ("--artifact", need), ("--input", need))
     command(predict, "batch", ("--artifact", need), ("--input", need), ("--output", need))
     command(areas.add_parser("artifact").add_subparsers(dest="command", required=True), "inspect", ("--artifact", need))
-    command(areas, "benchmark", ("--config", need), ("--output", need), ("--baseline", {"type": float}), ("--enforce", flag))
+    command(areas, "benchmark", ("--config", need), ("--output", need), ("--baseline", {"type": float}), ("--hybrid", flag), ("--enforce", flag))
     return top
 
 
@@ -87,6 +87,9 @@ def dispatch(args: argparse.Namespace) -> tuple[Any, int]:
         found = PricingEngine.load(args.artifact).predict(rows, "id").withColumn("warnings", F.to_json("warnings"))
         write_csv(rows.join(found, "id").orderBy("id").select(*FIELD_ORDER, "premium", "lower", "upper", "model_version", "warnings"), args.output)
         return {"output": args.output}, OK
+    if args.hybrid:
+        found = benchmark.run_hybrid_benchmark(spark, load_config(args.config), args.output)
+        return found, GATES if args.enforce and not found["gates"]["passed"] else OK
     found = benchmark.run_benchmark(spark, load_config(args.config), args.output, baseline_ms=args.baseline)
     return found, GATES if args.enforce and not all(found["gates"].values()) else OK
 

@@ -24,6 +24,12 @@ def _require(ok: bool, what: str) -> None:
         raise ConfigError(what)
 
 
+def _within(section: Any, ranges: dict[str, tuple[float, float]]) -> None:
+    """Raises for a field below the first or above the second number of its range."""
+    for name, (low, high) in ranges.items():
+        _require(low <= getattr(section, name) <= high, f"{name} must be within {low}..{high}")
+
+
 @dataclass(frozen=True)
 class Acquisition:
     uncertainty: float = 0.10
@@ -50,7 +56,8 @@ class Sampling:
     acquisition: Acquisition = field(default_factory=Acquisition)
 
     def __post_init__(self) -> None:
-        _require(min(self.mapping_budget, self.initial_size, self.batch_size, self.pool_size) >= 1 and self.seed >= 0, "sampling sizes must be 1 or more")
+        # The least pool and the largest seed.
+        _within(self, {"mapping_budget": (1, math.inf), "initial_size": (1, math.inf), "batch_size": (1, math.inf), "pool_size": (10, math.inf), "seed": (0, 2**32 - 1)})
         _require(self.initial_size <= self.mapping_budget, "initial_size must not exceed mapping_budget")
         _require(self.strategy in STRATEGIES, f"strategy must be one of {STRATEGIES}")
 
@@ -70,7 +77,9 @@ class Evaluation:
     def __post_init__(self) -> None:
         parts = (self.validation_fraction, self.calibration_fraction, self.audit_fraction)
         _require(all(p > 0 for p in parts) and abs(sum(parts) - 1) <= 1e-9, "evaluation fractions must be positive and sum to 1")
-        _require(0 < self.conformal_coverage < 1 and 0 < self.confidence < 1 and self.bootstrap >= 0, "coverage and confidence must be within 0..1")
+        _require(0.5 < self.conformal_coverage < 1 and 0.5 < self.confidence < 1, "coverage and confidence must be above 0.5 and below 1")
+        # The least holdout and the most draws.
+        _within(self, {"budget": (3, math.inf), "bootstrap": (0, 100_000)})
         _require(0 <= self.least_coverage <= self.most_coverage <= 1, "the coverage gate is inverted")
         _require(min(self.split_counts().values()) >= 1, "every holdout split needs a row")
 
@@ -91,7 +100,7 @@ class EarlyStopping:
     confidence: float = 0.90
 
     def __post_init__(self) -> None:
-        _require(self.patience >= 0 and self.least_batches >= 1 and 0 <= self.least_gain < 1 and 0 < self.confidence < 1, "early stopping is out of range")
+        _require(self.patience >= 0 and self.least_batches >= 1 and 0 <= self.least_gain < 1 and 0.5 < self.confidence < 1, "early stopping is out of range")
 
 
 @dataclass(frozen=True)
@@ -105,7 +114,10 @@ class Model:
     latency_repetitions: int = 100
 
     def __post_init__(self) -> None:
-        _require(min(self.search_iterations, self.boosting, self.extra_trees, self.committee, self.committee_trees, self.latency_repetitions) >= 1 and self.latency_ceiling_ms > 0, "model sizes must be 1 or more")
+        _require(0 < self.latency_ceiling_ms < math.inf, "the latency ceiling must be above 0")
+        # The ranges of model sizes.
+        ranges = {"search_iterations": (1, 50), "boosting": (20, 2_000), "extra_trees": (20, 5_000), "committee": (2, 30), "committee_trees": (10, 1_000), "latency_repetitions": (5, 10_000)}
+        _within(self, ranges)
 
 
 @dataclass(frozen=True)
@@ -116,8 +128,10 @@ class ProviderSettings:
     most_pause: float = 1.0
 
     def __post_init__(self) -> None:
-        _require(self.retries >= 0 and 0 <= self.first_pause <= self.most_pause, "provider pauses must ascend")
-        _require(self.callable is None or self.callable.count(":") == 1, "a provider is written module:function")
+        _require(self.first_pause <= self.most_pause, "provider pauses must ascend")
+        # The most retries, and the longest pauses in seconds.
+        _within(self, {"retries": (0, 20), "first_pause": (0, 60), "most_pause": (0, 600)})
+        _require(self.callable is None or (self.callable.count(":") == 1 and all(self.callable.strip().split(":"))), "a provider is written module:function")
 
 
 @dataclass(frozen=True)
@@ -132,11 +146,15 @@ class Artifact:
 
 @dataclass(frozen=True)
 class Advisor:
+    """The local model server. A quantization is checked where one is named, memory where most_bytes is above 0."""
+
     endpoint: str = "http://127.0.0.1:11434"
     model: str = ""
     version: str = ""
     digest: str = ""
     timeout_s: float = 60.0
+    quantization: str = ""
+    most_bytes: int = 0
 
     def __post_init__(self) -> None:
         parts = urlsplit(self.endpoint)
@@ -147,6 +165,7 @@ class Advisor:
         _require(parts.scheme == "http" and local and not parts.username and parts.path in ("", "/") and not parts.query, "the advisor must be plain HTTP at a literal loopback address")
         _require(not self.digest or (len(self.digest) == 64 and set(self.digest) <= set("0123456789abcdef")), "a digest has 64 hex digits")
         _require(0 < self.timeout_s <= 60, "the advisor answers within 60 s")
+        _require(self.most_bytes >= 0, "the advisor's memory must not be negative")
 
 
 @dataclass(frozen=True)

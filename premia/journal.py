@@ -25,7 +25,11 @@ SAMPLES = T.StructType([T.StructField("id", T.LongType()), T.StructField("split"
 QUOTES = T.StructType([T.StructField("provider_identity", T.StringType()), T.StructField("row_key", T.StringType()), T.StructField("premium", T.DoubleType())])
 ATTEMPTS = T.StructType([T.StructField("row_key", T.StringType()), T.StructField("number", T.IntegerType()), T.StructField("outcome", T.StringType()), T.StructField("latency_ms", T.DoubleType()), T.StructField("error_type", T.StringType()), T.StructField("at", T.StringType())])
 BATCHES = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("version", T.LongType()), T.StructField("state", T.StringType()), T.StructField("mae", T.DoubleType()), T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType()), T.StructField("policy", T.StringType())])
-TABLES = {"samples": SAMPLES, "quotes": QUOTES, "attempts": ATTEMPTS, "batches": BATCHES}
+DECISIONS = T.StructType([
+    T.StructField("batch_id", T.LongType()), T.StructField("seed", T.LongType()), T.StructField("policy", T.StringType()), T.StructField("boosts", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("runtime", T.StringType()), T.StructField("request_digest", T.StringType()), T.StructField("response_digest", T.StringType()), T.StructField("attempt_latencies", T.ArrayType(T.DoubleType())), T.StructField("resident_bytes", T.LongType()),
+])
+TABLES = {"samples": SAMPLES, "quotes": QUOTES, "attempts": ATTEMPTS, "batches": BATCHES, "decisions": DECISIONS}
 
 
 class RunLock:

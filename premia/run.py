@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premia import artifact as artifacts
-from premia.advisor import PolicyAdvisor, derived_seed
+from premia.advisor import LocalAdvisor, PolicyAdvisor, advisor_report, check_decision, derived_seed
 from premia.config import Config
 from premia.errors import ProviderRejected
-from premia.journal import BATCHES, Journal, RunLock
+from premia.journal import BATCHES, DECISIONS, Journal, RunLock
 from premia.models import search
 from premia.models.estimators import EXTRA_TREES, fit
 from premia.operators import acquire, encode, evaluate, sample
@@ -51,16 +51,24 @@ class MappingRun:
     def __init__(self, spark: SparkSession, config: Config, run_id: str | None = None, provider: str | Quote | None = None, advisor: PolicyAdvisor | None = None) -> None:
         self.spark, self.config, self.run_id = spark, config, run_id or default_run_id()
         self.provider = resolve(provider if provider is not None else config.provider.callable)
-        self.domain, self.advisor = config.domain(), advisor
+        self.domain, self.advisor, self.runtime = config.domain(), None, None
+        if config.sampling.strategy == "hybrid":
+            self.advisor = advisor if advisor is not None else LocalAdvisor(config.advisor)
         self.folder = Path(config.artifact.runs) / self.run_id
         self.seed = config.sampling.seed
 
     def _metadata(self) -> dict[str, Any]:
-        return {"version": 1, "fingerprint": self.config.fingerprint(), "provider": self.provider.identity, "domain": self.domain.to_dict()}
+        """What a run is begun with and resumed with; of a hybrid one, also the advisor that answers."""
+        named = {"version": 1, "fingerprint": self.config.fingerprint(), "provider": self.provider.identity, "domain": self.domain.to_dict()}
+        if self.advisor is not None:
+            self.runtime = self.advisor.verify()
+            named["advisor"] = self.runtime
+        return named
 
     def run(self, resume: bool = False, seed_rows: DataFrame | None = None) -> Result:
+        named = self._metadata()
         with RunLock(self.folder):
-            journal = (Journal.open if resume else Journal.create)(self.spark, self.folder, self._metadata())
+            journal = (Journal.open if resume else Journal.create)(self.spark, self.folder, named)
             if journal.table("samples").head() is None:
                 self._holdouts(journal)
             journal.validate()
@@ -171,7 +179,7 @@ class MappingRun:
             scored = acquire.combined(scores.join(far, "quote_id").withColumn("breakpoint", acquire.breakpoint_score()), weights)
             focused, spread_weight = acquire.focused_count(count, a.focused_fraction), a.greedy_spread
         else:
-            policy, boosts = ("balanced", {}) if strategy == "bayesian" or self.advisor is None else self._advice(journal, scores, residual, batch)
+            policy, boosts = ("balanced", {}) if self.advisor is None else self._advice(journal, scores, residual, batch)
             acquire.check_boosts(boosts, set(encode.bin_catalogue(self.domain)))
             scored = acquire.policy_scores(scores, policy, boosts).select("quote_id", "score")
             focused, spread_weight = count - acquire.exploration_count(count, policy), self.config.sampling.acquisition.greedy_spread
@@ -184,11 +192,20 @@ class MappingRun:
         return rows, policy
 
     def _advice(self, journal: Journal, scores: DataFrame, residual: DataFrame, batch: int) -> tuple[str, dict[str, float]]:
-        bins = self.spark.createDataFrame([(b,) for b in encode.bin_catalogue(self.domain)], "bin_id string")
+        """The decision of this batch: the stored one if a run that died had made it, or else one that is stored first."""
+        names = set(encode.bin_catalogue(self.domain))
+        held = journal.table("decisions").filter(F.col("batch_id") == batch).first()
+        if held is not None:
+            return held.policy, dict(held.boosts)
+        bins = self.spark.createDataFrame([(b,) for b in sorted(names)], "bin_id string")
         table = acquire.diagnostic_bins(evaluate.normalized(scores, "uncertainty"), evaluate.normalized(residual, "residual"), bins)
         history = journal.batches().filter("mae IS NOT NULL").select(F.col("batch_id").alias("idx"), "mae", "policy")
         summary = {"bins": [r.asDict() for r in table.orderBy("bin_id").collect()], "validation_mae_trend": [r.mae for r in steps.mae_trend(history).orderBy("idx").collect()], "uncertainty": evaluate.distribution(scores, "uncertainty").first().asDict()}
-        return self.advisor.advise(summary, set(encode.bin_catalogue(self.domain)), derived_seed(self.seed, batch))
+        seed = derived_seed(self.seed, batch)
+        answer = self.advisor.advise(summary, names, seed)
+        row = check_decision(self.advisor.records[-1], answer, names, seed, self.runtime) | {"batch_id": batch}
+        journal.append("decisions", self.spark.createDataFrame([tuple(row[n] for n in DECISIONS.names)], DECISIONS))
+        return answer
 
     def _judge(self, journal: Journal) -> None:
         """MAE, with bootstrap bounds, of a fixed model on all rows up to each batch that isn't judged yet."""
@@ -253,6 +270,10 @@ class MappingRun:
             "gates": {"coverage": judged.least_coverage <= interval["coverage"] <= judged.most_coverage, "latency": best["latency_ms"] <= settings.latency_ceiling_ms},
         }
         audit.unpersist()
+        if self.advisor is not None:
+            decisions = [r.asDict() for r in journal.table("decisions").orderBy("batch_id").collect()]  # one a batch
+            report["advisor"] = advisor_report(decisions, self.config.advisor.most_bytes)
+            report["gates"]["advisor"] = report["advisor"]["latency_passed"] and report["advisor"]["memory_passed"]
         selection = {"chosen": best["name"], "candidates": [{k: v for k, v in r.asDict().items() if k != "latency_ms"} for r in sorted(found, key=lambda r: r["name"])]}
         conformal = {"coverage": judged.conformal_coverage, "n": radius.n, "rank": radius.conformal_rank, "radius": radius.radius}
         named = {"config": self.config.fingerprint(), "selection": selection, "conformal": conformal, "keys": rows.agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(":", "row_key", F.col("premium").cast("string"))))), 256).alias("d")).first().d}
