@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
-import sys
+import logging
 from collections.abc import Sequence
 from pathlib import Path
 from typing import Any
@@ -24,10 +24,15 @@ from premia.sources.files import audit_rows, read_quotes, read_seed, strict_json
 
 # Exit codes.
 OK, INPUT, RUN, ARTIFACT, GATES = 0, 2, 3, 4, 5
+# Levels of the log.
+LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR")
+
+log = logging.getLogger("premia")
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="premia")
+    top.add_argument("--log-level", choices=LEVELS, default="WARNING")
     areas = top.add_subparsers(dest="area", required=True)
 
     def command(area: Any, name: str, *options: tuple[str, dict[str, Any]]) -> None:
@@ -83,9 +88,9 @@ def dispatch(args: argparse.Namespace) -> tuple[Any, int]:
     if name == "model evaluate":
         return _evaluate(spark, args)
     if name == "predict batch":
-        rows = read_quotes(spark, args.input).withColumn("id", F.monotonically_increasing_id()).persist()
-        found = PricingEngine.load(args.artifact).predict(rows, "id").withColumn("warnings", F.to_json("warnings"))
-        write_csv(rows.join(found, "id").orderBy("id").select(*FIELD_ORDER, "premium", "lower", "upper", "model_version", "warnings"), args.output)
+        rows = read_quotes(spark, args.input)
+        found = PricingEngine.load(args.artifact).predict(rows.withColumn("row", F.struct(*FIELD_ORDER)), "row")
+        write_csv(found.select("row.*", "premium", "lower", "upper", "model_version", F.to_json("warnings").alias("warnings")), args.output)
         return {"output": args.output}, OK
     if args.hybrid:
         found = benchmark.run_hybrid_benchmark(spark, load_config(args.config), args.output)
@@ -100,16 +105,18 @@ def run_cli(argv: Sequence[str] | None = None) -> int:
         args = parser().parse_args(argv)
     except SystemExit as e:
         return int(e.code or 0)
+    logging.basicConfig(level=logging.WARNING, format="%(asctime)s %(levelname)s %(name)s: %(message)s")
+    log.setLevel(args.log_level)
     try:
         result, code = dispatch(args)
     except ArtifactError as e:
-        print(e, file=sys.stderr)
+        log.error("%s", e)
         return ARTIFACT
     except (ConfigError, DomainValidationError, SourceError, OSError) as e:
-        print(e, file=sys.stderr)
+        log.error("%s", e)
         return INPUT
     except (JournalError, ProviderError, ModelSelectionError, AdvisorError) as e:
-        print(e, file=sys.stderr)
+        log.error("%s", e)
         return RUN
     print(json.dumps(result, indent=2, sort_keys=True, default=str))
     return code

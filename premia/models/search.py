@@ -10,8 +10,10 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from premia.errors import ModelSelectionError, SourceError
 from premia.models.estimators import BOOSTED, EXTRA_TREES, FOREST, Estimator, GaussianProcess, fit
@@ -105,15 +107,19 @@ def refit(spec: Candidate, rows: np.ndarray, targets: np.ndarray, seed: int) ->
 
 
 def score(rows: DataFrame, model: Estimator, key: str = "quote_id") -> DataFrame:
-    """key and predicted; encoding runs in the JVM, prediction by Arrow batch, and nothing is shuffled."""
+    """key and predicted; encoding runs in the JVM, prediction by Arrow batch, and nothing is shuffled.
+
+    The key may be of any type, as a struct of all columns that are to be kept beside a prediction.
+    """
     wide = rows.select(F.col(key).alias("__key"), *ordinal())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"__key": batch["__key"], "predicted": model.predict(batch[list(FIELD_ORDER)].to_numpy(float))})
+            values = [batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in FIELD_ORDER]
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(model.predict(np.stack(values, axis=1)))], names=["__key", "predicted"])
 
-    kind = wide.schema["__key"].dataType.simpleString()
-    return wide.mapInPandas(run, f"__key {kind}, predicted double").withColumnRenamed("__key", key)
+    kinds = T.StructType([T.StructField("__key", wide.schema["__key"].dataType), T.StructField("predicted", T.DoubleType())])
+    return wide.mapInArrow(run, kinds).withColumnRenamed("__key", key)
 
 
 def committee(spark: SparkSession, train: tuple[np.ndarray, np.ndarray], seed: int, members: int = 5, trees: int = 60) -> list[Estimator]:

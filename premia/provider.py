@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import importlib
+import logging
 import math
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
@@ -19,6 +21,7 @@ from premia.operators.encode import row_key
 from premia.operators.tariff import premium
 from premia.schema import FIELD_ORDER
 
+log = logging.getLogger(__name__)
 Quote = Callable[[dict[str, Any]], float]
 _RESULT = "id long, row_key string, premium double, error string, attempts array<struct<number: int, outcome: string, latency_ms: double, error_type: string, at: string>>"
 #: Name of the built-in tariff, which runs as a Column expression and is never called by row.
@@ -74,6 +77,8 @@ def ask(call: Quote, row: dict[str, Any], retries: int, first: float, most: floa
             value, outcome, error = None, "retryable_failure", type(e).__name__
         except Exception as e:
             value, outcome, error = None, "permanent_failure", type(e).__name__
+        if error is not None:
+            log.warning("attempt %d of %d: %s (%s)", k, retries + 1, outcome, error)  # names the error's type alone, no payload
         attempts.append((k, outcome, (time.perf_counter() - start) * 1000, error, at))
         if outcome != "retryable_failure" or k == retries + 1:
             return value, error, attempts
@@ -84,20 +89,27 @@ def ask(call: Quote, row: dict[str, Any], retries: int, first: float, most: floa
 def quote(rows: DataFrame, provider: Provider, retries: int = 2, first: float = 0.05, most: float = 1.0) -> DataFrame:
     """rows (id and the 15 columns) to id, row_key, premium, error and attempts, which hold no payload.
 
-    At most the provider's declared concurrency of calls run at once: that many partitions. A task that Spark runs
-    again asks again, as a crashed process would; results are written per batch before they count.
+    At most the provider's declared concurrency of calls run at once: tasks up to the cluster's slots, and threads in
+    each of them for the rest. A task that Spark runs again asks again, as a crashed process would.
     """
     keyed = rows.select("id", row_key().alias("row_key"), *FIELD_ORDER)
     if provider.call is None:
         own = F.struct(F.lit(1).alias("number"), F.lit("success").alias("outcome"), F.lit(0.0).alias("latency_ms"), F.lit(None).cast("string").alias("error_type"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("at"))
         return keyed.select("id", "row_key", premium().alias("premium"), F.lit(None).cast("string").alias("error"), F.array(own).alias("attempts"))
     call = provider.call
+    tasks = min(provider.concurrency, max(1, rows.sparkSession.sparkContext.defaultParallelism))
+    threads = provider.concurrency // tasks
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [ask(call, row, retries, first, most) for row in batch[list(FIELD_ORDER)].to_dict("records")]
+            asked = batch[list(FIELD_ORDER)].to_dict("records")
+            if threads == 1:
+                found = [ask(call, row, retries, first, most) for row in asked]
+            else:
+                with ThreadPoolExecutor(threads) as pool:
+                    found = list(pool.map(lambda row: ask(call, row, retries, first, most), asked))
             attempts = [[dict(zip(("number", "outcome", "latency_ms", "error_type", "at"), a, strict=True)) for a in x[2]] for x in found]
             yield pd.DataFrame({"id": batch["id"], "row_key": batch["row_key"], "premium": [x[0] for x in found], "error": [x[1] for x in found], "attempts": attempts})
 
-    spread = keyed.coalesce(1) if provider.concurrency == 1 else keyed.repartition(min(provider.concurrency, 64))
+    spread = keyed.coalesce(1) if provider.concurrency == 1 else keyed.repartition(tasks)
     return spread.mapInPandas(run, _RESULT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Iterable, Mapping
 from pathlib import Path
@@ -97,15 +98,23 @@ def audit_rows(dataset: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str | Path) -> None:
-    """rows as one CSV file with a header, which appears whole or not at all."""
+    """rows as one CSV file with a header, which appears whole or not at all.
+
+    Parts are written side by side, then the driver strings them together in their order, a block at a time.
+    """
     target = Path(path)
     own = target.with_name(f".{target.name}-{uuid.uuid4().hex}")
-    rows.coalesce(1).write.option("header", True).option("emptyValue", "").csv(f"file://{own.resolve()}")
-    part = next(own.glob("part-*.csv"))
-    os.replace(part, target)
-    for left in own.iterdir():
-        left.unlink()
-    own.rmdir()
+    try:
+        rows.write.option("emptyValue", "").csv(own.resolve().as_uri())
+        whole = own / "whole"
+        with whole.open("wb") as out:
+            out.write((",".join(rows.columns) + "\n").encode())
+            for part in sorted(own.glob("part-*.csv"), key=lambda p: int(p.name.split("-")[1])):
+                with part.open("rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 20)
+        os.replace(whole, target)
+    finally:
+        shutil.rmtree(own, ignore_errors=True)
 
 
 def write_json(value: Any, path: str | Path) -> None:

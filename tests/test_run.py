@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import os
 import shutil
+import tempfile
+import time
 
 import pandas as pd
 import pytest
@@ -14,7 +17,7 @@ from premia.config import Advisor, Artifact, Config, EarlyStopping, Evaluation,
 from premia.engine import PricingEngine
 from premia.errors import AdvisorError, ArtifactError, ConfigError, JournalError, LegacyArtifactError, ProviderRejected, ProviderUnavailable, RunLocked, SourceError
 from premia.journal import Journal, RunLock
-from premia.provider import ask, resolve
+from premia.provider import ask, quote, resolve
 from premia.run import MappingRun
 from premia.schema import FIELD_ORDER, SPLITS
 from premia.sources.files import read_quotes, read_seed, strict_json, write_csv
@@ -235,3 +238,97 @@ def test_csv_sources(spark, tmp_path, valid_row):
             strict_json(raw)
     write_csv(spark.range(3), tmp_path / "three.csv")
     assert len(pd.read_csv(tmp_path / "three.csv")) == 3 and SPLITS[0] == "mapping"
+
+
+def altered(path, name, keys, value):
+    """Sets one value of a file of an artifact (drops it if value is ...) and signs the file again."""
+    held = json.loads((path / name).read_text())
+    inner = held
+    for key in keys[:-1]:
+        inner = inner[key]
+    if value is ...:
+        del inner[keys[-1]]
+    else:
+        inner[keys[-1]] = value
+    (path / name).write_text(json.dumps(held))
+    manifest = json.loads((path / "manifest.json").read_text())
+    manifest["files"][name] = artifact.file_hash(path / name)
+    (path / "manifest.json").write_text(json.dumps(manifest))
+
+
+@pytest.mark.parametrize(("name", "keys", "value"), [
+    ("metadata", ["model_version"], " "), ("metadata", ["artifact_version"], 2), ("metadata", ["warnings"], [1]), ("metadata", ["extra"], 1), ("metadata", ["rows", "audit"], 4),
+    ("metadata", ["rows", "audit"], True), ("metadata", ["fingerprint"], "0"), ("metadata", ["revision"], 1), ("metadata", ["spec", "name"], "other"),
+    ("conformal", ["n"], 4), ("conformal", ["coverage"], 0.5), ("conformal", ["radius"], -1.0), ("conformal", ["radius"], "1"), ("conformal", ["rank"], ...),
+    ("evaluation", ["metrics", "n"], 2), ("evaluation", ["metrics", "mae"], 1e9), ("evaluation", ["metrics", "rmse"], True), ("evaluation", ["slices", "young_driver", "n"], 4),
+    ("evaluation", ["slices", "young_driver"], ...), ("evaluation", ["bootstrap", "mae", "lower"], 1e9), ("evaluation", ["interval", "coverage"], 1.5), ("evaluation", ["interval", "n"], 2),
+    ("evaluation", ["interval", "p95_width"], 1e9), ("evaluation", ["gates", "coverage"], False), ("evaluation", ["gates", "latency"], False), ("evaluation", ["gates", "coverage"], 1),
+    ("evaluation", ["latency_ms"], 1e6), ("evaluation", ["advisor"], {}), ("selection", ["chosen"], "other"), ("selection", ["candidates"], []), ("selection", ["candidates", 0, "mae"], None),
+    ("provider", ["attempts"], 0), ("provider", ["identity"], ""), ("provider", ["latency_ms"], -1.0), ("dependencies", ["numpy"], ...), ("dependencies", ["numpy"], ""),
+    ("model", ["trees", 0, "left", 0], 0), ("model", ["trees", 0, "feature", 0], 15), ("model", ["trees", 0, "value"], []), ("model", ["trees"], []), ("row-schema", ["type"], "none"),
+    ("encoder", ["extra"], 1),
+])
+def test_audit(finished, tmp_path, name, keys, value):
+    """Files that are signed but contradict one another, or aren't of their shape, are no artifact."""
+    path = tmp_path / "copy"
+    shutil.copytree(finished[1].artifact, path)
+    artifact.validate(path)
+    altered(path, f"{name}.json", keys, value)
+    with pytest.raises(ArtifactError):
+        artifact.validate(path)
+
+
+def test_links_and_manifests(finished, tmp_path):
+    path = tmp_path / "copy"
+    shutil.copytree(finished[1].artifact, path)
+    held = json.loads((path / "manifest.json").read_text())
+    (path / "manifest.json").write_text(json.dumps(held | {"more": 1}))
+    with pytest.raises(ArtifactError, match="manifest"):
+        artifact.validate(path)
+    (path / "manifest.json").write_text(json.dumps(held))
+    (path / "MODEL_CARD.md").rename(tmp_path / "card")
+    (path / "MODEL_CARD.md").symlink_to(tmp_path / "card")
+    with pytest.raises(ArtifactError, match="regular"):
+        artifact.validate(path)
+
+
+def test_batch_keeps_order(spark, finished, valid_row, tmp_path):
+    """A batch is written in the order of its rows, by several tasks, with each row's own premium."""
+    rows = pd.DataFrame([valid_row | {"excess": 10 * i} for i in range(200)])[list(FIELD_ORDER)]
+    rows.to_csv(tmp_path / "in.csv", index=False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        parts = read_quotes(spark, str(tmp_path / "in.csv")).rdd.getNumPartitions()
+        assert run_cli(["--log-level", "INFO", "predict", "batch", "--artifact", str(finished[1].artifact), "--input", str(tmp_path / "in.csv"), "--output", str(tmp_path / "out.csv")]) == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    out = pd.read_csv(tmp_path / "out.csv")
+    engine = PricingEngine.load(finished[1].artifact)
+    assert parts > 1 and out.excess.tolist() == rows.excess.tolist() and sorted(p.name for p in tmp_path.iterdir()) == ["in.csv", "out.csv"]
+    assert abs(out.premium - engine.predict_premiums(rows.to_dict("records"))).max() < 1e-9
+
+
+def test_concurrency(spark, valid_row, tmp_path):
+    """Of a thread-safe provider more calls run at once than there are slots, and never more than it declares."""
+    folder = str(tmp_path)
+
+    def slow(row):
+        own = tempfile.NamedTemporaryFile(dir=folder, delete=False)
+        seen = len(os.listdir(folder))
+        time.sleep(0.3)
+        os.unlink(own.name)
+        return float(seen)
+
+    slow.thread_safe, slow.max_concurrency = True, 4 * spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame(pd.DataFrame([{"id": i} | valid_row | {"excess": i} for i in range(200)]))
+    found = quote(rows, resolve(slow)).select("premium").toPandas()["premium"]
+    assert len(found) == 200 and spark.sparkContext.defaultParallelism < found.max() <= slow.max_concurrency
+
+
+def test_failed_attempts_are_logged(caplog, valid_row):
+    def call(_):
+        raise ProviderUnavailable(f"postcode {valid_row['postcode_risk']}")
+
+    ask(call, valid_row, 1, 0, 0, lambda _: None)
+    assert [r.getMessage() for r in caplog.records] == [f"attempt {k} of 2: retryable_failure (ProviderUnavailable)" for k in (1, 2)]
