@@ -99,6 +99,21 @@ _DIGEST = " || ".join(
 )
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_sort(list_distinct(list_transform(list_zip(w, w[2:], w[3:], w[4:], w[5:])[:len(w) - 4], lambda x: concat_ws(' ', x[1], x[2], x[3], x[4], x[5])))) END AS s FROM words),
+        classes AS (SELECT s, min(doc_id) AS node, any_value(len(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+        shingles AS (SELECT node, n, unnest(s) AS shingle FROM classes),
+        pairs AS (SELECT a.node AS a, b.node AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.node < b.node
+            GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+        reach(node, seen) AS (SELECT node, node FROM classes UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+        least AS (SELECT node, min(seen) AS least FROM reach GROUP BY node)
+        SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(l.least, d.doc_id) AS component_id, d.doc_id = coalesce(l.least, d.doc_id) AS kept
+        FROM sets d LEFT JOIN classes c ON d.s = c.s LEFT JOIN least l ON l.node = c.node
+    """,
     "op9_exact_dedup": """
         WITH h AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, text_sha256 FROM h)
