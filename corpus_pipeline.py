@@ -12,7 +12,7 @@ from premia.llm.language import UNDETERMINED, identify, sample
 from premia.llm.minhash import near_dedup
 from premia.llm.mixing import mix, repeat
 from premia.llm.packing import pack
-from premia.llm.shared import materialize, whole_row
+from premia.llm.shared import materialize
 from premia.llm.tokens import public_path
 
 
@@ -25,12 +25,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Documents that stay without a label get the language that was found as their lang.
     """
-    texts = docs.select(whole_row(docs), "text")
-    found = identify(texts, sample(docs, F.lit(True)))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # none of which clashes with the operator's own
+    found = identify(docs.toDF(*names), sample(docs, F.lit(True)), text_col=names[docs.columns.index("text")])
     known = F.col("lang_pred") != UNDETERMINED
     kept = found.filter(known if LANGUAGES is None else known & F.col("lang_pred").isin(*LANGUAGES))
-    columns = [F.col(f"row.`{c}`") if c != "lang" else F.coalesce("row.lang", "lang_pred").alias("lang") for c in docs.columns]
-    return kept.select(*columns)
+    return kept.select(*((F.col(n) if c != "lang" else F.coalesce(n, "lang_pred")).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm.shared import blocks, ready
+from premia.llm.shared import blocks, held, ready, trimmed
 
 #: Bounds of the training sample: documents per language, characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 400
@@ -24,8 +24,6 @@ UNKNOWN, GAP, FILL, OTHER = 0, 1, 2, 3
 DENSE = 256
 UNDETERMINED = "und"
 
-_parsers: dict[tuple, CrossParser] = {}
-
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     """Transitions of each state of the smallest automaton that accepts what occurs in codes."""
@@ -241,10 +239,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
     schema = docs.drop("lang_pred", "score").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if samples not in _parsers:
-            _parsers.clear()
-            _parsers[samples] = CrossParser(samples)
-        parser = _parsers[samples]
+        parser = held(("parser", samples), lambda: CrossParser(samples))
         for batch in batches:
             for block in blocks(batch, text_col):
                 found = parser.predict([x or "" for x in block.column(text_col).to_pylist()])
@@ -252,4 +247,4 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
                 yield pa.RecordBatch.from_arrays(columns, names=[*block.schema.names, "lang_pred", "score"])
 
     out = type(schema)(list(schema.fields)).add("lang_pred", "string").add("score", "double")
-    return docs.select(*(F.col(f"`{c}`") for c in schema.names)).mapInArrow(run, out)
+    return docs.select(*(F.col(f"`{c}`") for c in schema.names)).mapInArrow(trimmed(run), out)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from premia.llm import bloom
 from premia.llm.components import connected_components
-from premia.llm.shared import blocks, materialize, ready, whole_row
+from premia.llm.shared import blocks, materialize, ready, small_batches, trimmed, whole_row
 
 #: Minhashes of a half-band, and how likely a pair that just reaches the threshold may share no table's key.
 HASHES, MISS = 3, 5e-5
@@ -89,7 +89,7 @@ def _sketch(docs: DataFrame, width: int, n: int) -> DataFrame:
                 columns = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays([block.column("id"), block.column("mark"), *columns], names=["id", "mark", *schema.names])
 
-    return docs.mapInArrow(run, f"id long, mark long, n_shingles long, set binary, {', '.join(f'{h} long' for h in names)}")
+    return docs.mapInArrow(trimmed(run), f"id long, mark long, n_shingles long, set binary, {', '.join(f'{h} long' for h in names)}")
 
 
 def links_within(sets: list[np.ndarray], percent: int, apart: int | None = None) -> np.ndarray:
@@ -154,7 +154,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _judge(texts: DataFrame, percent: int, width: int) -> _Judged:
     """Sketches, classes of equal sets, candidate groups and what exact comparison leaves of them."""
     n = halves_for(percent)
-    sketches = materialize(_sketch(texts, width, n), "sketches")
+    with small_batches(texts.sparkSession):
+        sketches = materialize(_sketch(texts, width, n), "sketches")
     names = [f"h{i}" for i in range(2 * n)]
     # the smallest id first, null last; equal sets have equal half-bands
     least = F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("least")
@@ -268,7 +269,7 @@ def _verify(texts: DataFrame, classes: DataFrame, candidates: DataFrame, percent
             for _, own in groupby(each, lambda r: [r[k] for k in keys]):
                 yield from forest([(r[last], r["node"], r["text"]) for r in own])
 
-        return rows.select(*keys, last, "node", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+        return rows.select(*keys, last, "node", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), "a long, b long")
 
     # first, each node with the smallest one of its keys: a hub goes to as many tasks as it has parts
     sized = candidates.join(classes.select(F.col("node").alias("a"), "n_shingles"), "a")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from premia.llm import tokens
-from premia.llm.shared import blocks, materialize, ready
+from premia.llm.shared import blocks, materialize, ready, small_batches, trimmed
 
 #: A piece: document, ids before it, ids, the document's ids.
 Piece = tuple[int | None, int, np.ndarray, int]
@@ -139,6 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 2048, op
         return out.astype({"doc_id": "Int64"})
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    pieces = materialize(texts.mapInArrow(run, f"{_COLUMNS}, left int"), "pieces")
+    with small_batches(spark):
+        pieces = materialize(texts.mapInArrow(trimmed(run), f"{_COLUMNS}, left int"), "pieces")
     rest = pieces.filter("left is not null").groupBy("left").applyInPandas(merged, _COLUMNS)
     return pieces.filter("left is null").drop("left").unionByName(rest).withColumnRenamed("doc_id", id_col)

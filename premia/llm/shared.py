@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +22,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts handled at once in a Python worker: rows and UTF-8 bytes.
 BLOCK_ROWS, BLOCK_BYTES = 1000, 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+_held: dict[Hashable, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +58,49 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Actions inside hand Python workers at most BLOCK_ROWS rows at once; else a batch of whole texts takes much memory on both sides."""
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= BLOCK_ROWS:
+        spark.conf.set(_BATCH, str(BLOCK_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The worker's own object of that key, which its later tasks find.
+
+    Only the one that was used last stays: a worker outlives its stage, and what other stages' operators made would add up.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()  # an encoder and its pieces refer to each other
+        trim()
+        _held[key] = make()
+    return _held[key]
+
+
+def trim() -> None:
+    """Gives this process's free memory back to the system, where the C library can; else a worker keeps the most it ever took."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and trim() when a task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """rows, of which few are and each means much work, in a partition for each value of key."""
     return rows.repartitionByRange(max(1, rows.select(key).distinct().count()), key)

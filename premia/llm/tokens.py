@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from premia.llm.shared import held
+
 #: Pieces of at most PIECE_CHARS characters are kept, about KEPT_PIECES of them, which bounds a worker's memory.
 PIECE_CHARS, KEPT_PIECES = 48, 800_000
 #: What no rule joins to a following space, letters that no rule changes but by case, and signs that no rule joins to them.
@@ -21,8 +23,6 @@ _WITH_SPACE = re.compile(rf" ?[{_LETTERS}]+(?=[ \n{_SIGNS}]|\Z)| ?[{_SIGNS}]+(?=
 _BETWEEN_BLANKS = re.compile(rf"[{_LETTERS}]+(?=[ \n{_SIGNS}]|\Z)|[{_SIGNS}]+(?=[ \n]|\Z)|[^ \n]+")
 _WORD = re.compile(rf" ?[{_LETTERS}]+")
 
-_encoders: dict[str, Encoder] = {}
-
 
 def public_path(name: str) -> str:
     """Where the public vocabulary file of that name is."""
@@ -125,6 +125,4 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for that file; later tasks of the worker find its pieces."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))
